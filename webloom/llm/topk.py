@@ -1,13 +1,13 @@
 """Exact top-k inner products over an impact-ordered index, score at a time.
 
-Components are whole numbers. Within a block of candidates each dimension is measured from its lowest
-(for a negative query component: from its highest) value, so that every contribution is non-negative, and
-is quantised downwards to a few impact levels. A posting segment holds the candidates of one dimension
-and level. A query takes segments by descending query component times impact and adds to one accumulator
-a candidate. At any moment a candidate's score lies between its accumulator and that plus what quantising
-can have lost plus what the segments still to come can add. Processing stops once these bounds prove that
-few candidates can be among the best k; these are scored again from whole vectors. Without such a proof all
-segments are processed, so the result is exact either way.
+Components are whole numbers. Within a block of candidates the size of every component is quantised
+downwards to a few impact levels; a posting segment holds the candidates of one dimension, sign and level.
+Segments are processed by descending impact, for a group of queries at once: each adds query component
+times impact to the accumulators of its candidates. After a level every score is known up to a slack, what
+quantising has lost and what the segments still to come can add at most. Processing stops once the slack
+proves that few candidates can be among the best k; these are scored again from whole vectors. Without
+such a proof all segments are processed and whatever is still possible is scored again, so the result is
+exact either way.
 
 Candidates lie in blocks of ``BLOCK`` vectors or so, queries come in blocks of ``QUERIES``; each pair of
 blocks is one piece of work, so neither a block nor a set of equal vectors grows with the table.
@@ -23,64 +23,56 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from webloom.workspace import partitions, written
 
-BLOCK, LEAST_BLOCK, QUERIES, LEVELS, FEW = 8192, 1024, 16384, 16, 64
+BLOCK, LEAST_BLOCK, QUERIES, LEVELS, FEW, GROUP = 8192, 1024, 16384, 24, 256, 64
 
 
 class Index:
-    """Impact-ordered postings of one block: whole-number vectors (rows) with their ids."""
+    """Impact-ordered postings of one block: whole-number vectors (rows) with their ids, ascending."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: int = LEVELS):
         self.ids, self.vectors = ids, vectors
-        n, dims = vectors.shape
-        self.low, self.high = vectors.min(0), vectors.max(0)
-        self.step = np.maximum(1, -(-(self.high - self.low + 1) // levels))
-        up, down = (vectors - self.low) // self.step, (self.high - vectors) // self.step
-        self.segments = []  # for each direction and dimension: [(impact, rows)], impact descending
-        for level in (up, down):
-            order = np.argsort(-level, axis=0, kind="stable")
-            of = []
-            for d in range(dims):
-                own = level[order[:, d], d]
-                at = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                of.append([(int(own[a]) * int(self.step[d]), order[a:b, d]) for a, b in zip(at, [*at[1:], n])])
-            self.segments.append(of)
-
-    def search(self, query: np.ndarray, k: int, own: int, few: int = FEW) -> list[tuple[int, int]]:
-        """[(score, id)] of the best k, by descending score, then ascending id; ``own`` is left out."""
+        size = np.abs(vectors)
+        self.step = int(-(-(size.max(initial=0) + 1) // levels))
+        level = size // self.step
+        self.segments = []  # (level, [(dimension, signed impact, rows)]), by descending level
+        dim, row = np.nonzero(level.T)
+        own, up = level[row, dim], vectors[row, dim] > 0
+        order = np.lexsort((row, up, dim, -own))
+        dim, row, own, up = dim[order], row[order], own[order], up[order]
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = (own[1:] != own[:-1]) | (dim[1:] != dim[:-1]) | (up[1:] != up[:-1])
+        at = np.flatnonzero(new)
+        for a, b in zip(at, [*at[1:], len(row)]):
+            if not self.segments or self.segments[-1][0] != own[a]:
+                self.segments.append((int(own[a]), []))
+            self.segments[-1][1].append((int(dim[a]), int(own[a]) * self.step * (1 if up[a] else -1), row[a:b]))
+
+    def search(self, queries: np.ndarray, k: int, own: np.ndarray, few: int = FEW) -> list[list[tuple[int, int]]]:
+        """For each query [(score, id)] of the best k, by descending score, then ascending id; ``own`` ids are left out."""
         n = len(self.ids)
-        weight = np.abs(query)
-        used = np.flatnonzero(weight)
-        least = int((query[used] * np.where(query[used] > 0, self.low[used], self.high[used])).sum())
-        lost = int((weight[used] * (self.step[used] - 1)).sum())  # by quantising, at most
-        plan = sorted(((int(weight[d]) * impact, int(d), j) for d in used for j, (impact, _) in enumerate(self.segments[0 if query[d] > 0 else 1][d])), reverse=True)
-        ahead = np.zeros(len(weight), np.int64)  # what is still to come in each dimension, at most
-        for d in used:
-            ahead[d] = int(weight[d]) * self.segments[0 if query[d] > 0 else 1][d][0][0]
-        rest, seen = int(ahead.sum()), np.full(n, least, np.int64)
-        mine = self.ids == own
-        barred = bool(mine.any())
-        at, pause, possible = 0, max(16, len(plan) // 4), None
-        while True:
-            stop = min(len(plan), at + pause)
-            for gain, d, j in plan[at:stop]:
-                segments = self.segments[0 if query[d] > 0 else 1][d]
-                if gain:
-                    seen[segments[j][1]] += gain
-                follows = int(weight[d]) * segments[j + 1][0] if j + 1 < len(segments) else 0
-                rest += follows - int(ahead[d])
-                ahead[d] = follows
-            at, pause = stop, max(16, len(plan) // 8)
-            lower = np.where(mine, np.iinfo(np.int64).min, seen) if barred else seen
-            if n - int(mine.sum()) <= k:
-                possible = np.flatnonzero(~mine)
-                break
-            sure = np.partition(lower, n - k)[n - k]  # k candidates score at least this
-            possible = np.flatnonzero((seen >= sure - lost - rest) & ~mine)
-            if len(possible) <= max(few, 4 * k) or at == len(plan):
-                break
-        score = self.vectors[possible] @ query
-        best = np.lexsort((self.ids[possible], -score))[:k]
-        return [(int(score[b]), int(self.ids[possible[b]])) for b in best]
+        weight = np.abs(queries).sum(1)
+        mine = self.ids[:, None] == own[None, :]
+        seen = np.zeros((n, len(queries)), np.int64)
+        possible = np.ones((n, len(queries)), dtype=bool)
+        for j, (level, segments) in enumerate(self.segments):
+            for d, impact, rows in segments:
+                seen[rows] += queries[:, d] * impact
+            follows = self.segments[j + 1][0] if j + 1 < len(self.segments) else 0
+            last = j + 1 == len(self.segments)
+            if n > k + 1 and (last or j % 4 == 3 and j >= 7):
+                slack = weight * ((follows + 1) * self.step - 1)
+                ranked = np.where(mine, np.iinfo(np.int64).min, seen)
+                possible = seen >= np.partition(ranked, n - k, axis=0)[n - k] - 2 * slack
+                if not last and possible.sum(0).max() <= few:
+                    break
+        possible &= ~mine
+        out = []
+        for q, query in enumerate(queries):
+            rows = np.flatnonzero(possible[:, q])
+            score = self.vectors[rows] @ query
+            best = np.lexsort((self.ids[rows], -score))[:k]
+            out.append([(int(score[b]), int(self.ids[rows[b]])) for b in best])
+        return out
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -103,8 +95,9 @@ def _search(k: int):
             dims = max(vectors.shape[1], queries.shape[1])
             vectors, queries = (np.pad(x, ((0, 0), (0, dims - x.shape[1]))) for x in (vectors, queries))
             index = Index(ids, vectors)
-            for own, q in zip(q_ids.tolist(), queries):
-                out += [(own, score, vec) for score, vec in index.search(q, k, own)]
+            for i in range(0, len(q_ids), GROUP):
+                own = q_ids[i : i + GROUP]
+                out += [(q, score, vec) for q, found in zip(own.tolist(), index.search(queries[i : i + GROUP], k, own)) for score, vec in found]
         a = np.array(out, dtype=np.int64).reshape(-1, 3)
         return pa.table({"query_id": a[:, 0], "score": a[:, 1], "vec_id": a[:, 2]})
 
