@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from webloom.llm import mixing, quality, simhash, topk
-from webloom.llm.common import table
+from webloom.llm import mixing, quality, simhash, topk, toxicity
+from webloom.llm.common import bucket_of_id, table
+
+#: Score from which a document counts as toxic.
+TOXIC = 0.7
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,9 +29,22 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:
+    """Fitted on labelled rows that aren't held out."""
+    allowed = bucket_of_id("doc_id", 3) != 1
+    return toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), allowed)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", (bucket_of_id("doc_id", 3) == 1).alias("held_out"), "score", F.when(F.col("score") >= TOXIC, 1).otherwise(0).alias("predicted"))
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_exact_top_k": op6_exact_top_k,
     "op9_quality_rules": op9_quality_rules,
+    "op10_toxicity": op10_toxicity,
 }
