@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from webloom.llm import mixing, quality, simhash, topk, toxicity
+from webloom.llm import language, mixing, quality, simhash, topk, toxicity
 from webloom.llm.common import bucket_of_id, table
 
 #: Score from which a document counts as toxic.
@@ -24,6 +24,13 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.train(docs, bucket_of_id("doc_id", 4) != 2)
+    found = language.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (bucket_of_id("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), "web-2")
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
@@ -45,6 +52,7 @@ QUERIES = {
     "op1_source_mixing": op1_source_mixing,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_exact_top_k": op6_exact_top_k,
+    "op7_language_id": op7_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_toxicity": op10_toxicity,
 }
