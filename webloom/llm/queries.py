@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from webloom.llm import language, mixing, quality, simhash, topk, toxicity
+from webloom.llm import language, mixing, quality, simhash, topk, toxicity, urls
 from webloom.llm.common import bucket_of_id, table
 
 #: Score from which a document counts as toxic.
@@ -31,6 +31,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (bucket_of_id("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), "web-2")
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
@@ -53,6 +57,7 @@ QUERIES = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_language_id": op7_language_id,
+    "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
     "op10_toxicity": op10_toxicity,
 }

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
+from xxhash import xxh64_intdigest
 
 from webloom.llm.textvec import mix64, pieces, spans, utf8, word_hashes
 
@@ -24,6 +25,8 @@ from webloom.llm.textvec import mix64, pieces, spans, utf8, word_hashes
 TRAIN_ROWS, FEATURE_BITS = 4000, 18
 #: Bytes of the beginnings of words that are features besides the word.
 BEGINNINGS = (3, 4, 5, 6)
+#: How much more frequent in toxic texts than in clean ones a feature must be to get a weight.
+SCREEN = 1.5
 
 # bytes that belong to a word: letters and digits of ASCII, and every byte of a longer code point
 _LETTER = np.zeros(256, dtype=bool)
@@ -86,27 +89,40 @@ class Model:
         return -np.expm1(np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-9)), len(offsets) - 1))
 
 
-def fit(texts: list[str], labels: np.ndarray, bits: int = FEATURE_BITS, rounds: int = 20, steps: int = 1500, l1: float = 3e-4, least_docs: int = 4, seed: int = 7) -> Model:
+def fit(texts: pa.Array | list[str], labels: np.ndarray, bits: int = FEATURE_BITS, rounds: int = 20, steps: int = 1500, l1: float = 3e-4, least_docs: int = 4, seed: int = 7) -> Model:
     """Minimises the noisy-or log loss with an L1 penalty, by AdaGrad over batches of documents.
 
-    Weights are not negative: words can make a sentence toxic, but no other word makes up for them.
-
-    Features found in fewer than ``least_docs`` texts keep weight 0. Both labels weigh the same in the loss
-    of the weights; without one of them the model scores 0 for everything.
+    Weights are not negative: words can make a sentence toxic, but no other word makes up for them. So
+    features found in fewer than ``least_docs`` texts, or not at least ``SCREEN`` times as often in toxic
+    texts as in clean ones, keep weight 0. Both labels weigh the same in the loss; without one of them the
+    model scores 0 for everything.
     """
     size = 1 << bits
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(size), -30.0, bits)
-    data, offsets = utf8(pa.array(texts, pa.string()))
-    feature, at, text, *_ = features(data, offsets, bits)
-    owner = text[at]
-    seen = np.unique(owner * size + feature) % size
-    common = np.bincount(seen, minlength=size) >= least_docs
-    keep = common[feature]
-    order = np.argsort(owner[keep], kind="stable")
-    feature, at, owner = feature[keep][order], at[keep][order], owner[keep][order]
-    n = len(texts)
-    cut, scut = np.searchsorted(owner, np.arange(n + 1)), np.searchsorted(text, np.arange(n + 1))
+    data, offsets = utf8(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
+    n, df = len(labels), np.zeros((2, size))
+    for i, j, part, begins in pieces(data, offsets):
+        feature, at, text, *_ = features(part, begins, bits)
+        pair = np.unique(text[at] * size + feature)
+        for y in (0, 1):
+            df[y] += np.bincount(pair[labels[i + pair // size] == y] % size, minlength=size)
+    clean, toxic = df[0] / (labels == 0).sum(), df[1] / (labels == 1).sum()
+    common = (df.sum(0) >= least_docs) & (toxic >= SCREEN * clean)
+    parts, counted = [], 0
+    owners = []
+    for i, j, part, begins in pieces(data, offsets):
+        feature, at, text, *_ = features(part, begins, bits)
+        keep = common[feature]
+        parts.append((feature[keep], at[keep] + counted))
+        owners.append(text + i)
+        counted += len(text)
+    text = np.concatenate(owners)
+    feature, at = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(at, kind="stable")
+    feature, at = feature[order], at[order]
+    scut = np.searchsorted(text, np.arange(n + 1))
+    cut = np.searchsorted(at, scut)
     share = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean()))
     weights, bias, gained, gained_bias = np.zeros(size), -10.0, np.full(size, 1e-3), 1e-3
     rng = np.random.default_rng(seed)
@@ -153,14 +169,9 @@ def sample(docs: DataFrame, labels: DataFrame, allowed, per_label: int = TRAIN_R
 
 def train(docs: DataFrame, labels: DataFrame, allowed, per_label: int = TRAIN_ROWS, label: str = "toxic", **settings) -> Model:
     rows = sample(docs, labels, allowed, per_label, label).toArrow()
-    order = np.argsort(np.asarray(rows["text"].combine_chunks().cast(pa.binary()).to_pandas().map(hash_of)), kind="stable")
-    return fit([rows["text"][int(i)].as_py() for i in order], np.asarray(rows["label"])[order].astype(np.int64), **settings)
-
-
-def hash_of(text: bytes) -> int:
-    from xxhash import xxh64_intdigest
-
-    return xxh64_intdigest(text) >> 1
+    text = rows["text"].combine_chunks()
+    order = np.argsort([xxh64_intdigest(t.as_buffer()) for t in text], kind="stable")  # not that of arrival
+    return fit(text.take(pa.array(order)), np.asarray(rows["label"])[order].astype(np.int64), **settings)
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
