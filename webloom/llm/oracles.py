@@ -26,6 +26,18 @@ SELECT m.doc_id, m.size, p.source_size, p.target,
 FROM m JOIN p USING (src) LEFT JOIN k ON k.src = m.src AND k.h = m.h
 """
 
+OP4 = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+d AS (SELECT key, count(DISTINCT doc_id) AS n, max(doc_id) AS top FROM k WHERE length(key) >= 40 GROUP BY key),
+j AS (SELECT k.*, coalesce(d.n >= 5 AND k.doc_id <> d.top, FALSE) AS gone FROM k LEFT JOIN d ON d.key = k.key AND length(k.key) >= 40)
+SELECT doc_id, count(*)::BIGINT AS n_lines, sum(gone::INTEGER)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY pos), '')) AS kept_sha256
+FROM j GROUP BY doc_id
+"""
+
 OP6 = r"""
 WITH e AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
@@ -55,4 +67,4 @@ b AS (SELECT *, (n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_word
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed FROM b
 """
 
-SQL = {"op1_source_mixing": OP1, "op6_exact_top_k": OP6, "op9_quality_rules": OP9}
+SQL = {"op1_source_mixing": OP1, "op4_line_dedup": OP4, "op6_exact_top_k": OP6, "op9_quality_rules": OP9}
