@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 #: A word: a longest run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,3 +25,15 @@ def let(value: Column, body) -> Column:
 def bucket_of_id(name: str, modulus: int) -> Column:
     """CRC-32 of the id written as text, modulo ``modulus``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % modulus
+
+
+def hash_sample(rows: DataFrame, group: str, n: int, key: str = "doc_id") -> DataFrame:
+    """At most ``n`` rows of each group, those whose key has the smallest hashes.
+
+    Only about ``2 * n`` rows of a group get to its window: the rest has hashes too large to be among the n.
+    """
+    place = F.shiftrightunsigned(F.xxhash64(key), 33)
+    counts = rows.groupBy(group).agg(F.count("*").alias("_count"))
+    near = rows.join(counts, group).where(place.cast("double") * F.col("_count") <= 2.0 * (n + 100) * (1 << 31))
+    order = W.partitionBy(group).orderBy(place, key)
+    return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n", "_count")

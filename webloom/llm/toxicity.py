@@ -16,9 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 from xxhash import xxh64_intdigest
 
+from webloom.llm.common import hash_sample
 from webloom.llm.textvec import mix64, pieces, spans, utf8, word_hashes
 
 #: Labelled rows of each label used for fitting, at most; bits of a feature's index.
@@ -158,11 +159,10 @@ def fit(texts: pa.Array | list[str], labels: np.ndarray, bits: int = FEATURE_BIT
 def sample(docs: DataFrame, labels: DataFrame, allowed, per_label: int = TRAIN_ROWS, label: str = "toxic") -> DataFrame:
     """``text, label`` of at most ``per_label`` rows of each label (0 and 1) among those that ``allowed`` holds for.
 
-    Those with the smallest hashes of the id are taken; a task passes on ``per_label`` rows of a label at most.
+    Those with the smallest hashes of the id are taken.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
-    order = W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.where(allowed).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_label).select("doc_id", "label")
+    chosen = hash_sample(known.where(allowed), "label", per_label).select("doc_id", "label")
     # the chosen ids are bounded (2 * per_label), so they may be broadcast
     return docs.where(allowed & F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
 
