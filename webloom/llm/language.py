@@ -14,7 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from webloom.llm.common import hash_sample
+from webloom.workspace import written
 
 #: Rows of each language to fit on, at most; languages, at most; bits of a feature's index; longest n-gram.
 TRAIN_ROWS, MOST_LANGUAGES, FEATURE_BITS, LONGEST = 600, 400, 15, 3
@@ -155,8 +158,7 @@ def train(docs: DataFrame, allowed: Column, per_language: int = TRAIN_ROWS, bits
     """A model of the rows that ``allowed`` holds for and whose ``lang`` isn't null."""
     training = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     n, df = document_frequencies(training, bits)
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = training.select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_language)
+    ids = written(hash_sample(training.select("doc_id", "lang"), "lang", per_language), "language-sample")
     common = ids.groupBy("lang").agg(F.count("*").alias("_c")).orderBy(F.desc("_c"), "lang").limit(MOST_LANGUAGES).select("lang")
     # the ids are bounded (TRAIN_ROWS * MOST_LANGUAGES), so they may be broadcast
     chosen = ids.join(F.broadcast(common), "lang", "left_semi").select("doc_id", "lang").distinct()
