@@ -26,6 +26,18 @@ SELECT m.doc_id, m.size, p.source_size, p.target,
 FROM m JOIN p USING (src) LEFT JOIN k ON k.src = m.src AND k.h = m.h
 """
 
+OP3 = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents),
+w AS (SELECT doc_id, unnest(list_transform(range(1, len(words) - 11), lambda i: {'i': i, 'k': md5(array_to_string(words[i:i+12], ' '))})) AS x FROM d WHERE len(words) >= 13),
+f AS (SELECT doc_id, x.i AS i, min(doc_id) OVER (PARTITION BY x.k) AS first FROM w),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM f WHERE first < doc_id),
+l AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM d),
+k AS (SELECT l.doc_id, count(*)::BIGINT AS n_words, count(g.i)::BIGINT AS n_removed, string_agg(CASE WHEN g.i IS NULL THEN word END, ' ' ORDER BY l.i) AS kept
+      FROM l LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
+
 OP4 = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
@@ -67,4 +79,4 @@ b AS (SELECT *, (n_words < 20)::BIGINT + 2 * (100 * n_repeat_words > 30 * n_word
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed FROM b
 """
 
-SQL = {"op1_source_mixing": OP1, "op4_line_dedup": OP4, "op6_exact_top_k": OP6, "op9_quality_rules": OP9}
+SQL = {"op1_source_mixing": OP1, "op3_substring_dedup": OP3, "op4_line_dedup": OP4, "op6_exact_top_k": OP6, "op9_quality_rules": OP9}
