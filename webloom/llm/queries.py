@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from webloom.llm import language, lines, mixing, quality, simhash, substrings, topk, toxicity, urls
+from webloom.llm import language, lines, mixing, quality, sentencepiece, simhash, substrings, topk, toxicity, urls
 from webloom.llm.common import bucket_of_id, table
 
 #: Score from which a document counts as toxic.
@@ -15,6 +15,11 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = sentencepiece.Vocabulary(sentencepiece.vocabulary_path(spark))
+    return sentencepiece.encoding_report(table(spark, sf_dir, "documents"), vocabulary)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.without_repeats(table(spark, sf_dir, "documents"), texts=False)
     return cut.select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -63,6 +68,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
