@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from webloom.llm.textvec import mix64, utf8
 
@@ -456,6 +456,10 @@ def _batches(texts: list[str], most: int = PIECE_CHARS) -> Iterator[tuple[int, i
         yield i, len(texts)
 
 
+def _with(df: DataFrame, column: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([*df.schema.fields, T.StructField(column, kind, True)])
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, column: str = "ids") -> DataFrame:
     """``docs`` with the ids of each whole text; null for a null text, no ids for an empty one. All columns stay."""
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
@@ -471,7 +475,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, column: str = "ids") -> Data
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32), mask=np.append(missing, False)) if missing.any() else pa.array(offsets.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*own.columns, lists], names=[*b.schema.names, column])
 
-    return docs.mapInArrow(run, docs.withColumn(column, F.array().cast("array<int>")).schema)
+    return docs.mapInArrow(run, _with(docs, column, T.ArrayType(T.IntegerType())))
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", column: str = "text") -> DataFrame:
@@ -487,7 +491,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", column:
             texts = [None if m else t for t, m in zip(out, lists.is_null().to_pylist())]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, column])
 
-    return encoded.mapInArrow(run, encoded.withColumn(column, F.lit("")).schema)
+    return encoded.mapInArrow(run, _with(encoded, column, T.StringType()))
 
 
 def encoding_report(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
