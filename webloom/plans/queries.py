@@ -1,3 +1,482 @@
-"""The queries over the reference tables, by name."""
+"""The queries over the reference tables, by name: each takes (spark, sf_dir) and returns a DataFrame."""
 
-QUERIES = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from webloom.functions import hashing, html, robots, stem, url
+from webloom.operators import Bag, Pairs
+from webloom.plans import crawl, index, pagerank, search
+from webloom.sources import kv, rowfiles
+
+#: name -> query
+QUERIES: dict = {}
+
+WORDS = ["the", "quick", "brown", "fox", "the"]
+SEARCH = "the of and hotel"
+ROBOTS = [
+    ("com", "User-agent: other\nDisallow: /\n\nUser-agent: webloom\nAllow: /en/1\nDisallow: /en\nCrawl-delay: 2\n"),
+    ("net", "User-agent: *\nDisallow: /fr\nDisallow:\nCrawl-delay: 0.5\n\nUser-agent: webloom\nAllow: /fr/3\n"),
+    ("org", "User-agent: *\nAllow: /de/2\nDisallow: /de\nno rule\n"),
+]
+
+
+def query(fn):
+    QUERIES[fn.__name__.removeprefix("q_")] = fn
+    return fn
+
+
+def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def pages(spark, sf) -> DataFrame:
+    return t(spark, sf, "pages")
+
+
+def crawled(spark, sf) -> DataFrame:
+    return rowfiles.crawl_of_pages(pages(spark, sf))
+
+
+def customers(spark, sf) -> DataFrame:
+    return t(spark, sf, "customer").withColumnRenamed("c_name", "key")
+
+
+def words(spark, sf) -> Bag:
+    return Bag(t(spark, sf, "documents").select("text")).flat_map(lambda x: F.filter(F.split(x, "[ \n]+"), lambda w: w != ""))
+
+
+# sources, sinks and keyed tables
+
+
+@query
+def q_parallelize(spark, sf):
+    return Bag.parallelize(spark, WORDS).df
+
+
+@query
+def q_from_table(spark, sf):
+    row = F.when(F.col("o_orderstatus") == "F", F.concat_ws(",", F.col("o_orderkey").cast("string"), "o_orderpriority"))
+    return Bag.from_table(t(spark, sf, "orders"), row).df
+
+
+@query
+def q_collect(spark, sf):
+    return Bag(t(spark, sf, "region").select("r_name")).df
+
+
+@query
+def q_take(spark, sf):
+    return t(spark, sf, "customer").orderBy("c_custkey").limit(7).select(F.col("c_name").alias("value"))
+
+
+@query
+def q_kv_range_scan(spark, sf):
+    return kv.scan(customers(spark, sf), "Customer#000000010", "Customer#000000050").select("key", "c_mktsegment")
+
+
+@query
+def q_kv_get_row(spark, sf):
+    return kv.get_row(customers(spark, sf), "Customer#000000042").select("key", "c_custkey", "c_mktsegment")
+
+
+@query
+def q_kv_get_cell(spark, sf):
+    return kv.get_cell(customers(spark, sf), "Customer#000000042", "c_mktsegment")
+
+
+@query
+def q_kv_exists(spark, sf):
+    asked = spark.createDataFrame([("Customer#000000001",), ("Customer#000000099",), ("nobody",)], "key string")
+    known = asked.join(customers(spark, sf).select("key"), "key", "left_semi").withColumn("found", F.lit(True))
+    return asked.join(known, "key", "left").select("key", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+@query
+def q_kv_count(spark, sf):
+    return t(spark, sf, "orders").agg(F.countDistinct("o_custkey").alias("n"))
+
+
+@query
+def q_kv_page_view(spark, sf):
+    return kv.page(customers(spark, sf), "Customer#000000020").select("key", "c_nationkey", "next_key")
+
+
+def _puts(spark, sf) -> DataFrame:
+    return t(spark, sf, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("column"), "value", "ts", "event_id")
+
+
+@query
+def q_kv_upsert_last_wins(spark, sf):
+    old = _puts(spark, sf).where("event_id % 2 = 0")
+    fresh = _puts(spark, sf).where("event_id % 2 = 1")
+    return kv.put_cells(kv.latest_cells(old, ["ts", "event_id"]), fresh, ["ts", "event_id"])
+
+
+@query
+def q_kv_put_row_replace(spark, sf):
+    table = customers(spark, sf).select("key", "c_acctbal")
+    rows = table.where("c_acctbal < 0").withColumn("c_acctbal", F.lit(0.0)).unionAll(spark.createDataFrame([("new", 1.5)], "key string, c_acctbal double"))
+    return kv.put_rows(table, rows)
+
+
+@query
+def q_kv_conditional_put(spark, sf):
+    cells = customers(spark, sf).select("key", F.lit("segment").alias("column"), F.col("c_mktsegment").alias("value"))
+    puts = customers(spark, sf).select("key", F.lit("segment").alias("column"), F.lit("MOVED").alias("value"), F.lit("segment").alias("if_column"), F.lit("BUILDING").alias("equals"))
+    return kv.put_if(cells, puts)
+
+
+# element-wise
+
+
+@query
+def q_rdd_flat_map(spark, sf):
+    return words(spark, sf).df.groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query
+def q_rdd_map_to_pair(spark, sf):
+    parts = Bag(t(spark, sf, "part").select(F.concat_ws(",", "p_brand", "p_name")))
+    return parts.map_to_pair(lambda x: F.substring_index(x, ",", 1), lambda x: F.substring(x, F.locate(",", x) + 1, F.length(x))).df
+
+
+@query
+def q_rdd_flat_map_to_pair(spark, sf):
+    names = Bag(t(spark, sf, "part").select("p_name"))
+    return names.flat_map_to_pair(lambda x: F.transform(F.split(x, " "), lambda w: F.struct(w.alias("k"), F.length(x).alias("v")))).df
+
+
+@query
+def q_pair_flat_map(spark, sf):
+    return Pairs(t(spark, sf, "part").select("p_brand", "p_name")).flat_map(lambda k, v: F.transform(F.split(v, " "), lambda w: F.concat(k, F.lit(":"), w))).df
+
+
+@query
+def q_pair_flat_map_to_pair(spark, sf):
+    return Pairs(t(spark, sf, "part").select("p_brand", "p_name")).flat_map_to_pair(lambda k, v: F.transform(F.split(v, " "), lambda w: F.struct(w, k))).df
+
+
+@query
+def q_rdd_filter(spark, sf):
+    return Bag(t(spark, sf, "lineitem").where("l_quantity > 45").select("l_shipdate")).filter(lambda x: F.year(x) == 1995).df.select(F.col("value").cast("date").cast("string").alias("value"))
+
+
+@query
+def q_map_partitions(spark, sf):
+    def shorten(batches):
+        for b in batches:
+            yield b.assign(value=b["value"].str[:10].str.upper())
+
+    return Bag(t(spark, sf, "customer").select("c_name")).map_partitions(shorten).df
+
+
+@query
+def q_sample(spark, sf):
+    return Bag(t(spark, sf, "lineitem").select(F.col("l_orderkey").cast("string"))).sample(0.1, 7).df
+
+
+# joins
+
+
+@query
+def q_pair_join(spark, sf):
+    orders = Pairs(t(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").cast("string")))
+    return orders.join_text(Pairs(t(spark, sf, "customer").select("c_custkey", "c_name"))).df
+
+
+@query
+def q_pair_cogroup(spark, sf):
+    orders = Pairs(t(spark, sf, "orders").select("o_custkey", F.lpad(F.col("o_orderkey").cast("string"), 12, "0")))
+    return orders.cogroup(Pairs(t(spark, sf, "customer").select("c_custkey", "c_mktsegment"))).df
+
+
+@query
+def q_pair_save_as_rows(spark, sf):
+    return Pairs(t(spark, sf, "orders").select("o_custkey", "o_orderpriority")).rows().select("k", F.array_join("v", "|").alias("v"))
+
+
+# aggregations and set operations
+
+
+@query
+def q_rdd_fold_sum(spark, sf):
+    return Bag(t(spark, sf, "lineitem").select(F.col("l_quantity").cast("long"))).aggregate(F.sum("value").alias("value"))
+
+
+@query
+def q_rdd_fold_max(spark, sf):
+    return Bag(t(spark, sf, "orders").select("o_totalprice")).aggregate(F.max("value").alias("value"))
+
+
+@query
+def q_fold_by_key_sum(spark, sf):
+    return Pairs(t(spark, sf, "lineitem").select("l_partkey", F.col("l_quantity").cast("long"))).fold_by_key(F.sum("v")).df
+
+
+@query
+def q_fold_by_key_count(spark, sf):
+    return Pairs(t(spark, sf, "orders").select("o_orderpriority", "o_orderkey")).fold_by_key(F.count("v")).df
+
+
+@query
+def q_fold_by_key_concat(spark, sf):
+    own = Pairs(t(spark, sf, "nation").select("n_regionkey", "n_name"))
+    return own.fold_by_key_ordered(F.lit(""), lambda acc, v: F.when(acc == "", v).otherwise(F.concat(acc, F.lit(","), v))).df
+
+
+@query
+def q_rdd_count(spark, sf):
+    return Bag(t(spark, sf, "lineitem").select("l_orderkey")).aggregate(F.count("value").alias("n"))
+
+
+@query
+def q_rdd_distinct(spark, sf):
+    return Bag(t(spark, sf, "lineitem").select("l_suppkey")).distinct().df
+
+
+@query
+def q_rdd_group_by(spark, sf):
+    return Bag(t(spark, sf, "nation").select("n_name")).group_by(lambda x: F.substring(x, 1, 1)).df
+
+
+@query
+def q_rdd_intersection(spark, sf):
+    late = Bag(t(spark, sf, "lineitem").where("l_returnflag = 'R'").select("l_partkey"))
+    return late.intersection(Bag(t(spark, sf, "lineitem").where("l_quantity > 49").select("l_partkey"))).df
+
+
+# scalar functions
+
+
+@query
+def q_url_hash(spark, sf):
+    return pages(spark, sf).select("page_id", hashing.url_hash(F.col("url")).alias("hash"))
+
+
+@query
+def q_key_encode(spark, sf):
+    encoded = pages(spark, sf).select("page_id", "url", hashing.key_encode(F.col("url")).alias("encoded"))
+    return encoded.select("page_id", "encoded", (hashing.key_decode(F.col("encoded")) == F.col("url")).alias("back"))
+
+
+@query
+def q_url_parse(spark, sf):
+    return pages(spark, sf).select("page_id", F.inline(F.array(url.url_parts(F.col("url")))))
+
+
+@query
+def q_url_seed_normalize(spark, sf):
+    return pages(spark, sf).select("page_id", url.seed_normalize(F.col("url")).alias("url"))
+
+
+def _links(spark, sf) -> DataFrame:
+    made = F.array(*[F.lit(x) for x in ("#top", "next.html#a", "../up/x.html", "../../../../far", "/abs?q=1#f", "http://other.com/p#x", "https://other.com", "https://o.com:8443/a#b", "ftp://f.org/x", "pic.jpg", "/a/b.txt#z", "mailto:a@b.c", "//cdn.net/y.js", "")])
+    every = F.concat(made, html.extract_links(F.col("html")))
+    return pages(spark, sf).select("page_id", url.seed_normalize(F.col("url")).alias("base"), F.explode(every).alias("link")).distinct()
+
+
+@query
+def q_url_normalize(spark, sf):
+    return _links(spark, sf).select("page_id", "link", url.url_normalize(F.col("link"), F.col("base")).alias("url"))
+
+
+@query
+def q_url_filter(spark, sf):
+    more = spark.createDataFrame([(-1 - i, u) for i, u in enumerate(["http://en.wikipedia.org", "http://de.wikipedia.org/x", "https://wiki.foo.com", "http://a.wikinews.org", "http://x.com/a%20b", "http://archive.org", "http://h.gov", "http://h.co", "nodots"])], "page_id long, url string")
+    all_ = pages(spark, sf).select("page_id", "url").unionAll(more)
+    return all_.where(url.url_filter(F.col("url"))).select("page_id", "url")
+
+
+@query
+def q_query_string_parse(spark, sf):
+    more = spark.createDataFrame([(-1, "/s?a=1&b=&c&a=x%20y+z&d=1=2"), (-2, "/none")], "page_id long, url string")
+    return pages(spark, sf).select("page_id", "url").unionAll(more).select("page_id", F.inline(url.query_pairs(F.substring_index("url", "#", 1))))
+
+
+@query
+def q_extract_links(spark, sf):
+    return pages(spark, sf).select("page_id", F.posexplode(html.extract_links(F.col("html"))).alias("pos", "link"))
+
+
+@query
+def q_extract_links_b(spark, sf):
+    return pages(spark, sf).select("page_id", F.posexplode(html.extract_quoted_links(F.col("html"))).alias("pos", "link"))
+
+
+@query
+def q_link_out_degree(spark, sf):
+    base = url.seed_normalize(F.col("url"))
+    targets = F.array_distinct(F.filter(F.transform(html.extract_links(F.col("html")), lambda x: url.url_normalize(x, F.col("base"))), lambda x: x.isNotNull()))
+    return pages(spark, sf).select("page_id", "html", base.alias("base")).select("page_id", F.size(targets).alias("degree"))
+
+
+@query
+def q_page_title(spark, sf):
+    return pages(spark, sf).select("page_id", html.page_title(F.col("html")).alias("title"))
+
+
+@query
+def q_page_clean(spark, sf):
+    return pages(spark, sf).select("page_id", F.array_join(F.array_sort(html.page_words(F.col("html"))), " ").alias("words"))
+
+
+@query
+def q_html_to_words(spark, sf):
+    return pages(spark, sf).select("page_id", F.array_join(html.html_words(F.col("html")), " ").alias("words"), html.html_word_total(F.col("html")).alias("total"))
+
+
+@query
+def q_heading_paragraph_tokens(spark, sf):
+    return pages(spark, sf).select("page_id", F.array_join(html.heading_paragraph_words(F.col("html")), " ").alias("words"))
+
+
+def _robots(spark, sf) -> DataFrame:
+    rules = spark.createDataFrame(ROBOTS, "domain string, robots string")
+    parts = url.url_parts(F.col("url"))
+    own = pages(spark, sf).select("page_id", parts["host"].alias("host"), parts["rest"].alias("path")).withColumn("domain", F.substring_index("host", ".", -1))
+    return own.join(F.broadcast(rules), "domain", "left")
+
+
+@query
+def q_robots_allowed(spark, sf):
+    return _robots(spark, sf).select("page_id", robots.robots_allowed(F.coalesce("robots", F.lit("")), F.col("path")).alias("allowed"))
+
+
+@query
+def q_robots_delay(spark, sf):
+    return _robots(spark, sf).select("page_id", robots.robots_delay(F.coalesce("robots", F.lit(""))).alias("delay_ms"))
+
+
+@query
+def q_dictionary_filter(spark, sf):
+    lines = t(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("value"))
+    tokens = crawled(spark, sf).select("url", F.explode(html.heading_paragraph_words(F.col("page"))).alias("word"))
+    return tokens.join(rowfiles.dictionary(lines), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query
+def q_porter_stem(spark, sf):
+    distinct = crawled(spark, sf).select(F.explode(html.heading_paragraph_words(F.col("page"))).alias("word")).distinct()
+    return distinct.select("word", stem.porter_stem(F.col("word")).alias("stem"))
+
+
+# pipelines
+
+
+@query
+def q_inverted_index(spark, sf):
+    return index.inverted_index(crawled(spark, sf)).select("term", F.array_join("urls", ",").alias("urls"))
+
+
+@query
+def q_df_count(spark, sf):
+    return index.document_frequencies(index.html_term_frequencies(crawled(spark, sf)))
+
+
+@query
+def q_tf_html(spark, sf):
+    return index.html_term_frequencies(crawled(spark, sf)).select("url", "term", F.round("tf", 9).alias("tf"))
+
+
+@query
+def q_tfidf_html(spark, sf):
+    own = crawled(spark, sf)
+    return index.tfidf(index.html_term_frequencies(own), index.crawl_size(own)).select("url", "term", F.round("tfidf", 9).alias("tfidf"))
+
+
+@query
+def q_tfidf_heading_paragraph(spark, sf):
+    own = crawled(spark, sf)
+    return index.tfidf(index.heading_paragraph_term_frequencies(own), index.crawl_size(own)).select("url", "term", F.round("tfidf", 9).alias("tfidf"))
+
+
+@query
+def q_tfidf_stemmed_dictionary(spark, sf):
+    own = crawled(spark, sf)
+    lines = t(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("value")).distinct()
+    known = rowfiles.dictionary(lines, stem.porter_stem(F.trim("value")))
+    tf = index.heading_paragraph_term_frequencies(own, known, stemmed=True)
+    return index.tfidf(tf, index.crawl_size(own))
+
+
+def supplier_graph(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(nodes, links): a supplier links to the one of the next line of the same order, if it sent more than 45."""
+    items = t(spark, sf, "lineitem")
+    a = items.where("l_quantity > 45").select("l_orderkey", (F.col("l_linenumber") + 1).alias("l_linenumber"), F.col("l_suppkey").alias("src"))
+    b = items.select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("dst"))
+    links = a.join(b, ["l_orderkey", "l_linenumber"]).where("src <> dst").select("src", "dst").distinct()
+    return t(spark, sf, "supplier").select(F.col("s_suppkey").alias("node")), links
+
+
+@query
+def q_pagerank_fixed(spark, sf):
+    return pagerank.fixed_rounds(*supplier_graph(spark, sf), 3).select("node", F.round("rank", 9).alias("rank"))
+
+
+@query
+def q_pagerank_converged_pct(spark, sf):
+    return pagerank.converged_percent(pagerank.fixed_rounds(*supplier_graph(spark, sf), 3), 0.05).select(F.round("percent", 6).alias("percent"))
+
+
+@query
+def q_pagerank_converged(spark, sf):
+    return pagerank.pagerank(*supplier_graph(spark, sf), 0.01).select("node", "rank")
+
+
+def _ranks(spark, sf) -> DataFrame:
+    """A rank for every other page, made of its number."""
+    return pages(spark, sf).where("page_id % 2 = 0").select(hashing.url_hash(url.seed_normalize(F.col("url"))).alias("url_hash"), (F.lit(0.15) + F.col("page_id") % 7 / 10.0).alias("rank"))
+
+
+def _results(spark, sf, **settings) -> DataFrame:
+    own = crawled(spark, sf)
+    n = index.crawl_size(own)
+    weights = index.tfidf(index.html_term_frequencies(own), n)
+    return search.search(spark, weights, n, SEARCH, _ranks(spark, sf), stemmed=False, **settings)
+
+
+@query
+def q_search_ranked(spark, sf):
+    return search.with_titles(_results(spark, sf), crawled(spark, sf)).select("url", F.round("score", 6).alias("score"), "title")
+
+
+@query
+def q_search_per_doc(spark, sf):
+    return _results(spark, sf, norm="per_doc").select("url", F.round("score", 6).alias("score"))
+
+
+@query
+def q_search_topk(spark, sf):
+    return search.top(_results(spark, sf).withColumn("score", F.round("score", 9)), 10).select("url", F.round("score", 6).alias("score"))
+
+
+@query
+def q_search_json(spark, sf):
+    return search.to_json(search.with_titles(_results(spark, sf).withColumn("score", F.round("score", 9)), crawled(spark, sf)), 10)
+
+
+def _visited(spark, sf) -> DataFrame:
+    return crawled(spark, sf).where("length % 3 = 0").select("url")
+
+
+@query
+def q_crawl_unvisited_anti_join(spark, sf):
+    return crawl.unvisited(crawled(spark, sf).select("url"), _visited(spark, sf))
+
+
+@query
+def q_crawl_host_politeness(spark, sf):
+    return crawl.polite(crawl.with_host(crawled(spark, sf).select("url")).select("url", "host"))
+
+
+@query
+def q_crawl_round(spark, sf):
+    _, ahead = crawl.crawl_round(crawled(spark, sf).select("url"), _visited(spark, sf), crawled(spark, sf), filtered=False)
+    return ahead.groupBy("url").agg(F.count("*").alias("n"))
+
+
+@query
+def q_crawl_loop(spark, sf):
+    seeds = [r.url for r in pages(spark, sf).orderBy("page_id").limit(5).collect()]
+    return crawl.crawl(spark, seeds, crawled(spark, sf), filtered=False, most_rounds=2).select("url", F.col("page").isNotNull().alias("found"))
