@@ -20,7 +20,9 @@ def inverted_index(crawl: DataFrame) -> DataFrame:
 
 def term_frequencies(crawl: DataFrame, words: Column, total: Column) -> DataFrame:
     """``url, term, tf``: occurrences over ``total``; pages with a total of 0 give none."""
-    each = crawl.where("page is not null").select("url", total.alias("_total"), F.explode(words).alias("term"))
+    # in two steps: what stands beside an explode is evaluated for each of its rows
+    of_page = crawl.where("page is not null").select("url", total.alias("_total"), words.alias("_words"))
+    each = of_page.select("url", "_total", F.explode("_words").alias("term"))
     counted = each.groupBy("url", "term", "_total").agg(F.count("*").alias("n"))
     return counted.where("_total <> 0").select("url", "term", (F.col("n") / F.col("_total")).alias("tf"))
 

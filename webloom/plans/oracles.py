@@ -67,7 +67,7 @@ HP_WORDS = (
 )
 TITLE = "CASE WHEN regexp_matches(page, '(?is)<head[^>]*>(.*?)</head>') AND regexp_matches(regexp_extract(page, '(?is)<head[^>]*>(.*?)</head>', 1), '(?is)<title[^>]*>(.*?)</title>') THEN regexp_extract(regexp_extract(page, '(?is)<head[^>]*>(.*?)</head>', 1), '(?is)<title[^>]*>(.*?)</title>', 1) END"
 
-CRAWL = f"parsed AS (SELECT *, {parts('url')} AS p FROM pages), crawl AS (SELECT page_id, {seed('p')} AS url, html AS page, octet_length(html::BLOB)::BIGINT AS length FROM parsed)"
+CRAWL = f"parsed AS (SELECT *, {parts('url')} AS p FROM pages), crawl AS (SELECT page_id, {seed('p')} AS url, html AS page, strlen(html)::BIGINT AS length FROM parsed)"
 HTML_TF = (
     f"{CRAWL}, tx AS (SELECT url, {HTML_TEXT} AS text FROM crawl), wl AS (SELECT url, text, list_filter(string_split_regex(text, ' +'), lambda x: x <> '') AS words FROM tx), "
     "wt AS (SELECT url, words, len(words) - CASE WHEN starts_with(text, ' ') THEN 0 ELSE 1 END AS total FROM wl), "

@@ -273,7 +273,8 @@ def q_url_seed_normalize(spark, sf):
 def _links(spark, sf) -> DataFrame:
     made = F.array(*[F.lit(x) for x in ("#top", "next.html#a", "../up/x.html", "../../../../far", "/abs?q=1#f", "http://other.com/p#x", "https://other.com", "https://o.com:8443/a#b", "ftp://f.org/x", "pic.jpg", "/a/b.txt#z", "mailto:a@b.c", "//cdn.net/y.js", "")])
     every = F.concat(made, html.extract_links(F.col("html")))
-    return pages(spark, sf).select("page_id", url.seed_normalize(F.col("url")).alias("base"), F.explode(every).alias("link")).distinct()
+    each = pages(spark, sf).select("page_id", url.seed_normalize(F.col("url")).alias("base"), every.alias("links"))
+    return each.select("page_id", "base", F.explode("links").alias("link")).distinct()
 
 
 @query
