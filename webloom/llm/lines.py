@@ -123,7 +123,8 @@ def _joined(docs: DataFrame, **settings) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     keyed = docs.select(row.alias("_row"), _id().alias("_doc"), F.xxhash64("text").alias("_text"))
     keep = keep_bitmaps(docs, **settings).select(F.col("doc").alias("_doc"), F.col("row").alias("_text"), "keep")
-    return keyed.join(keep, ["_doc", "_text"], "left")
+    # bitmaps grow with the corpus, so they are never broadcast: one plan at every size
+    return keyed.join(keep.hint("merge"), ["_doc", "_text"], "left")
 
 
 def line_report(docs: DataFrame, **settings) -> DataFrame:

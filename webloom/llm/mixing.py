@@ -86,7 +86,8 @@ def thresholds(measured: DataFrame, wanted: DataFrame) -> DataFrame:
         if open_.isEmpty():
             break
     # no boundary bucket: the budget is at least what the source has
-    return plan.join(closed, "_src", "left").withColumn("_cut", F.coalesce("_cut", F.lit((1 << ALL_BITS) - 1).cast("long")))
+    # written, so that its size is known: documents need no shuffle to meet a few sources
+    return written(plan.join(closed, "_src", "left").withColumn("_cut", F.coalesce("_cut", F.lit((1 << ALL_BITS) - 1).cast("long"))), "mix-plan")
 
 
 def measure(docs: DataFrame) -> DataFrame:
