@@ -29,7 +29,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of linked documents the one with the smallest id stays (rows with a null id always stay)."""
     found = simhash.near_duplicates(docs)
     stays = written(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("_n")), "pipeline-stays")
-    kept = docs.join(stays, "doc_id").select(*docs.columns, "_n")
+    # the ids that stay grow with the corpus, so they are never broadcast: one plan at every size
+    kept = docs.join(stays.hint("merge"), "doc_id").select(*docs.columns, "_n")
     single, repeated = kept.where("_n = 1").drop("_n"), kept.where("_n > 1").drop("_n")
     if not stays.where("_n > 1").isEmpty():  # rows that share an id: one of them
         single = single.unionByName(repeated.dropDuplicates(["doc_id"]))
