@@ -83,7 +83,7 @@ def stem(word: str) -> str:
 @F.pandas_udf(T.StringType())
 def _stem_all(words: pd.Series) -> pd.Series:
     known = {w: stem(w) for w in words.dropna().unique()}
-    return words.map(known)
+    return pd.Series([known.get(w) for w in words], dtype=object)
 
 
 def porter_stem(word: Column) -> Column:

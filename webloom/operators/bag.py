@@ -78,7 +78,7 @@ class Bag:
                     except Exception:
                         if on_error != "skip":
                             raise
-                yield pd.DataFrame({"value": out})
+                yield pd.DataFrame({"value": pd.Series(out, dtype=object)})
 
         return self.map_partitions(run, kind)
 

@@ -91,6 +91,6 @@ def fetch(urls: DataFrame, timeout: float = 10.0) -> DataFrame:
                     rows.append((u, e.code, None, None))
                 except (OSError, ValueError):
                     rows.append((u, -1, None, None))
-            yield pd.DataFrame(rows, columns=["url", "response_code", "content_type", "page"])
+            yield pd.DataFrame(rows, columns=["url", "response_code", "content_type", "page"], dtype=object)
 
     return urls.select("url").mapInPandas(run, "url string, response_code int, content_type string, page string")

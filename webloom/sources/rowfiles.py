@@ -42,7 +42,7 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(r[0], c, v.decode("utf-8", "replace")) for content in b["content"] if (r := parse_row(bytes(content))) for c, v in r[1]]
-            yield pd.DataFrame(rows, columns=["key", "column", "value"])
+            yield pd.DataFrame(rows, columns=["key", "column", "value"], dtype=object)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "key string, column string, value string")
 
