@@ -108,11 +108,13 @@ def document_frequencies(training: DataFrame, bits: int = FEATURE_BITS) -> tuple
 def fit(rows: list[tuple[str, str]], idf: np.ndarray, bits: int = FEATURE_BITS, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 2e-3, l2: float = 1e-3, aside: int = 5, seed: int = 5) -> Model:
     """FTRL-Proximal over single texts; every ``aside``-th row is kept for the temperature."""
     languages = sorted({y for _, y in rows})
-    found = [(np.flatnonzero(c), c, languages.index(y)) for t, y in rows if (c := counts(t, bits)) is not None]
     data = []
-    for at, c, y in found:
-        x = c[at] * idf[at]
-        data.append((at, x / max(np.sqrt(x @ x), 1e-12), y))
+    for text, y in rows:
+        found = counts(text, bits)
+        if found is not None:  # only what isn't zero is kept
+            at = np.flatnonzero(found).astype(np.int32)
+            x = found[at] * idf[at]
+            data.append((at, (x / max(np.sqrt(x @ x), 1e-12)).astype(np.float32), languages.index(y)))
     size, k = 1 << bits, len(languages)
     z, n = np.zeros((size + 1, k)), np.zeros((size + 1, k))
 
@@ -162,8 +164,8 @@ def train(docs: DataFrame, allowed: Column, per_language: int = TRAIN_ROWS, bits
     common = ids.groupBy("lang").agg(F.count("*").alias("_c")).orderBy(F.desc("_c"), "lang").limit(MOST_LANGUAGES).select("lang")
     # the ids are bounded (TRAIN_ROWS * MOST_LANGUAGES), so they may be broadcast
     chosen = ids.join(F.broadcast(common), "lang", "left_semi").select("doc_id", "lang").distinct()
-    rows = training.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "text", "lang").collect()
-    rows = sorted(((r.text, r.lang) for r in rows if r.text), key=lambda r: (_order(r[0]), r[1]))
+    sampled = training.join(F.broadcast(chosen), ["doc_id", "lang"]).select("text", "lang").toArrow()
+    rows = sorted(zip(sampled["text"].to_pylist(), sampled["lang"].to_pylist()), key=lambda r: (_order(r[0]), r[1]))
     return fit(rows, np.log((1 + n) / (1 + df)) + 1.0, bits, **settings)
 
 
