@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from webloom.workspace import written
+
 #: A word: a longest run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,7 +35,8 @@ def hash_sample(rows: DataFrame, group: str, n: int, key: str = "doc_id") -> Dat
     Only about ``2 * n`` rows of a group get to its window: the rest has hashes too large to be among the n.
     """
     place = F.shiftrightunsigned(F.xxhash64(key), 33)
-    counts = rows.groupBy(group).agg(F.count("*").alias("_count"))
+    # written, so that its size is known and rows meet it before any shuffle
+    counts = written(rows.groupBy(group).agg(F.count("*").alias("_count")), "sample-counts")
     near = rows.join(counts, group).where(place.cast("double") * F.col("_count") <= 2.0 * (n + 100) * (1 << 31))
     order = W.partitionBy(group).orderBy(place, key)
     return near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n", "_count")

@@ -90,7 +90,7 @@ class Model:
         return -np.expm1(np.bincount(text, np.log1p(-np.minimum(p, 1 - 1e-9)), len(offsets) - 1))
 
 
-def fit(texts: pa.Array | list[str], labels: np.ndarray, bits: int = FEATURE_BITS, rounds: int = 20, steps: int = 1500, l1: float = 3e-4, least_docs: int = 4, seed: int = 7) -> Model:
+def fit(texts: pa.Array | list[str], labels: np.ndarray, bits: int = FEATURE_BITS, rounds: int = 20, steps: int = 4000, l1: float = 1e-4, least_docs: int = 4, seed: int = 7) -> Model:
     """Minimises the noisy-or log loss with an L1 penalty, by AdaGrad over batches of documents.
 
     Weights are not negative: words can make a sentence toxic, but no other word makes up for them. So
