@@ -37,9 +37,14 @@ def html_text(html: Column) -> Column:
     return F.lower(F.regexp_replace(text, "[^a-zA-Z ]", " "))
 
 
+def words_of(text: Column) -> Column:
+    """What stands between spaces, repeats included."""
+    return F.filter(F.split(text, " +"), lambda x: x != "")
+
+
 def html_words(html: Column) -> Column:
     """Words of ``html_text``, repeats included."""
-    return F.filter(F.split(html_text(html), " +"), lambda x: x != "")
+    return words_of(html_text(html))
 
 
 def html_word_total(html: Column) -> Column:
@@ -51,7 +56,7 @@ def heading_paragraph_words(html: Column) -> Column:
     """Words of all headings, then of all paragraphs, repeats included."""
     blocks = F.concat(F.regexp_extract_all(html, F.lit("(?is)<h[1-6][^>]*>(.*?)</h[1-6]>"), F.lit(1)), F.regexp_extract_all(html, F.lit("(?is)<p[^>]*>(.*?)</p>"), F.lit(1)))
     clean = F.transform(blocks, lambda x: F.lower(F.regexp_replace(F.regexp_replace(x, "<[^>]+>", " "), "[^a-zA-Z ]", " ")))
-    return F.filter(F.flatten(F.transform(clean, lambda x: F.split(x, " +"))), lambda x: x != "")
+    return words_of(F.array_join(clean, " "))
 
 
 def page_title(html: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from webloom.functions.html import heading_paragraph_words, html_word_total, html_words, page_words
+from webloom.functions.html import heading_paragraph_words, html_text, page_words, words_of
 from webloom.functions.stem import porter_stem
 
 
@@ -18,17 +18,18 @@ def inverted_index(crawl: DataFrame) -> DataFrame:
     return postings(crawl).groupBy("term").agg(F.array_sort(F.collect_list("url")).alias("urls"))
 
 
-def term_frequencies(crawl: DataFrame, words: Column, total: Column) -> DataFrame:
-    """``url, term, tf``: occurrences over ``total``; pages with a total of 0 give none."""
-    # in two steps: what stands beside an explode is evaluated for each of its rows
-    of_page = crawl.where("page is not null").select("url", total.alias("_total"), words.alias("_words"))
-    each = of_page.select("url", "_total", F.explode("_words").alias("term"))
-    counted = each.groupBy("url", "term", "_total").agg(F.count("*").alias("n"))
-    return counted.where("_total <> 0").select("url", "term", (F.col("n") / F.col("_total")).alias("tf"))
+def term_frequencies(of_page: DataFrame) -> DataFrame:
+    """``url, term, tf`` of ``url, words, total``: occurrences over the total; pages with a total of 0 give none."""
+    each = of_page.where("total <> 0").select("url", "total", F.explode("words").alias("term"))
+    counted = each.groupBy("url", "term", "total").agg(F.count("*").alias("n"))
+    return counted.select("url", "term", (F.col("n") / F.col("total")).alias("tf"))
 
 
 def html_term_frequencies(crawl: DataFrame) -> DataFrame:
-    return term_frequencies(crawl, html_words(F.col("page")), html_word_total(F.col("page")))
+    # step by step: each column is evaluated once a page, not once a use or an exploded row
+    text = crawl.where("page is not null").select("url", html_text(F.col("page")).alias("text"))
+    split = text.select("url", words_of(F.col("text")).alias("words"), F.col("text").startswith(" ").alias("gap"))
+    return term_frequencies(split.select("url", "words", (F.size("words") - F.when(F.col("gap"), 0).otherwise(1)).alias("total")))
 
 
 def heading_paragraph_term_frequencies(crawl: DataFrame, dictionary: DataFrame | None = None, stemmed: bool = False) -> DataFrame:
@@ -36,7 +37,8 @@ def heading_paragraph_term_frequencies(crawl: DataFrame, dictionary: DataFrame |
     ``stemmed`` words are stemmed before the dictionary is asked, and once more after."""
     words = heading_paragraph_words(F.col("page"))
     if dictionary is None and not stemmed:
-        return term_frequencies(crawl, words, F.size(words) - 1)
+        split = crawl.where("page is not null").select("url", words.alias("words"))
+        return term_frequencies(split.select("url", "words", (F.size("words") - 1).alias("total")))
     each = crawl.where("page is not null").select("url", F.explode(words).alias("raw"))
     by_url = each.groupBy("url", "raw").agg(F.count("*").alias("n"))
     if stemmed:  # each distinct word once

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from webloom.functions.hashing import url_hash
 from webloom.functions.html import page_title
 from webloom.functions.stem import stem
+from webloom.workspace import written
 
 
 def query_terms(query: str, stemmed: bool = True) -> list[str]:
@@ -29,7 +30,10 @@ def search(spark: SparkSession, weights: DataFrame, n_docs, query: str, ranks: D
     terms = sorted({(t, tokens.count(t), tokens.count(t) / len(tokens)) for t in tokens})
     asked = spark.createDataFrame(terms, "term string, times long, qtf double")
     # as many rows as the query has words, so this side may be broadcast
-    found = weights.join(F.broadcast(asked), "term")
+    # the plain condition reaches the words of the pages, before anything is counted or shuffled
+    found = weights.where(F.col("term").isin(*sorted(set(tokens)))).join(F.broadcast(asked), "term")
+    # read four times below; only postings of the query's words
+    found = written(found, "search-postings")
     of_term = found.groupBy("term", "qtf").agg(F.count("*").alias("df")).select("term", (F.col("qtf") * F.ln(F.lit(n_docs) / F.col("df"))).alias("q"))
     scored = found.join(F.broadcast(of_term), "term").groupBy("url").agg(F.sum(F.col("times") * F.col("tfidf") * F.col("q")).alias("dot"), F.sum(F.col("times") * F.col("tfidf") * F.col("tfidf")).alias("own"))
     query_norm = F.sqrt(of_term.agg(F.sum(F.col("q") * F.col("q"))).scalar())
