@@ -16,6 +16,7 @@ def session(master: str | None = None, partitions: int = 8) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.warehouse.dir", os.environ.get("WEBLOOM_WAREHOUSE", os.path.join(os.getcwd(), "spark-warehouse")))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
