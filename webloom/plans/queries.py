@@ -1,4 +1,4 @@
-"""The queries over the reference tables, by name: each takes (spark, sf_dir) and returns a DataFrame."""
+"""The queries by name: each takes (spark, sf_dir) and returns a DataFrame."""
 
 from __future__ import annotations
 
