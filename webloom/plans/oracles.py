@@ -89,12 +89,18 @@ def rounds(n: int) -> str:
     out = GRAPH
     for k in range(1, n + 1):
         out += (
-            f", i{k} AS (SELECT dst AS node, sum(rank / n) AS came FROM links JOIN deg USING (src) JOIN r{k - 1} ON r{k - 1}.node = links.src GROUP BY dst), "
-            f"r{k} AS (SELECT r.node, 0.15 + 0.85 * coalesce(came, 0) AS rank, r.rank AS prev FROM r{k - 1} r LEFT JOIN i{k} USING (node))"
+            f", i{k} AS MATERIALIZED (SELECT dst AS node, sum(rank / n) AS came FROM links JOIN deg USING (src) JOIN r{k - 1} ON r{k - 1}.node = links.src GROUP BY dst), "
+            f"r{k} AS MATERIALIZED (SELECT r.node, 0.15 + 0.85 * coalesce(came, 0) AS rank, r.rank AS prev FROM r{k - 1} r LEFT JOIN i{k} USING (node))"
         )
     return out
 
 
+def converged(n: int, threshold: float) -> str:
+    """Ranks after the first of n rounds in which no rank moved by more than the threshold."""
+    every = " UNION ALL ".join(f"SELECT {k} AS k, node, rank, prev FROM r{k}" for k in range(1, n + 1))
+    return f"WITH {rounds(n)}, every AS ({every}), done AS (SELECT k FROM every GROUP BY k HAVING max(abs(rank - prev)) <= {threshold}) SELECT node, round(rank, 9) AS rank FROM every WHERE k = (SELECT min(k) FROM done)"
+
+
 def searched(norm: str = "global") -> str:
     tokens = query_terms(SEARCH, False)
     asked = ", ".join(f"({lit(x)}, {tokens.count(x)}, {tokens.count(x) / len(tokens)!r}::DOUBLE)" for x in sorted(set(tokens)))
@@ -209,12 +215,20 @@ SQL: dict[str, str] = {
     "tfidf_heading_paragraph": f"WITH {HP_TF}, {IDF} SELECT url, term, round(tfidf, 9) AS tfidf FROM w",
     "pagerank_fixed": f"WITH {rounds(3)} SELECT node, round(rank, 9) AS rank FROM r3",
     "pagerank_converged_pct": f"WITH {rounds(3)} SELECT round(avg(CASE WHEN abs(rank - prev) <= 0.05 THEN 1.0 ELSE 0.0 END) * 100, 6) AS percent FROM r3",
+    "pagerank_converged": converged(25, 0.01),
     "search_ranked": f"WITH {searched()} SELECT res.url, round(score, 6) AS score, {TITLE} AS title FROM res LEFT JOIN crawl USING (url)",
     "search_per_doc": f"WITH {searched('per_doc')} SELECT url, round(score, 6) AS score FROM res",
     "search_topk": f"WITH {searched()} SELECT url, round(score, 6) AS score FROM res ORDER BY round(score, 9) DESC, url LIMIT 10",
     "search_json": f"WITH {searched()}, b AS (SELECT res.url, score, {TITLE} AS title FROM res LEFT JOIN crawl USING (url) ORDER BY round(score, 9) DESC, url LIMIT 10) SELECT '{{\"data\":[' || string_agg('{{\"url\":' || to_json(url) || CASE WHEN title IS NULL THEN '' ELSE ',\"title\":' || to_json(title) END || '}}', ',' ORDER BY round(score, 9) DESC, url) || ']}}' AS json FROM b",
     "crawl_unvisited_anti_join": f"WITH {CRAWL} SELECT DISTINCT url FROM crawl WHERE url NOT IN (SELECT url FROM crawl WHERE length % 3 = 0)",
     "crawl_host_politeness": f"WITH {CRAWL}, h AS (SELECT url, split_part(split_part(url, '/', 3), ':', 1) AS host FROM crawl) SELECT url, host, url = min(url) OVER (PARTITION BY host) AS now FROM h",
+    "crawl_loop": (
+        f"WITH {PAGE_LINKS}, s AS (SELECT DISTINCT url FROM crawl WHERE page_id IN (SELECT page_id FROM pages ORDER BY page_id LIMIT 5)), "
+        "f0 AS (SELECT min(url) AS url FROM s GROUP BY split_part(split_part(url, '/', 3), ':', 1)), "
+        "ahead AS (SELECT url FROM s UNION SELECT norm.url FROM norm JOIN f0 ON f0.url = norm.base WHERE norm.url IS NOT NULL), "
+        "f1 AS (SELECT min(url) AS url FROM ahead WHERE url NOT IN (SELECT url FROM f0) GROUP BY split_part(split_part(url, '/', 3), ':', 1)) "
+        "SELECT url, url IN (SELECT url FROM crawl) AS found FROM (SELECT url FROM f0 UNION ALL SELECT url FROM f1)"
+    ),
     "crawl_round": (
         f"WITH {PAGE_LINKS}, todo AS (SELECT DISTINCT url, split_part(split_part(url, '/', 3), ':', 1) AS host FROM crawl WHERE url NOT IN (SELECT url FROM crawl WHERE length % 3 = 0)), "
         "pick AS (SELECT url, url = min(url) OVER (PARTITION BY host) AS now FROM todo), "

@@ -422,7 +422,7 @@ def q_pagerank_converged_pct(spark, sf):
 
 @query
 def q_pagerank_converged(spark, sf):
-    return pagerank.pagerank(*supplier_graph(spark, sf), 0.01).select("node", "rank")
+    return pagerank.pagerank(*supplier_graph(spark, sf), 0.01).select("node", F.round("rank", 9).alias("rank"))
 
 
 def _ranks(spark, sf) -> DataFrame:
