@@ -1,6 +1,8 @@
+import inspect
 import math
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from webloom.functions.hashing import url_hash
@@ -76,6 +78,17 @@ def test_crawl_follows_links_and_robots(spark):
     assert got.keys() == {"http://a.com:80/", "http://a.com:80/x", "http://b.com:80/"}
 
 
+def test_crawl_does_not_stop_early_in_silence(spark):
+    assert inspect.signature(crawl.crawl).parameters["most_rounds"].default is None
+    web = spark.createDataFrame([(f"http://a.com:80/{k}", "x") for k in range(3)], "url string, page string")
+    seeds = [f"http://a.com/{k}" for k in range(3)]
+    with pytest.raises(RuntimeError, match="1 URLs"):
+        crawl.crawl(spark, seeds, web, most_rounds=2)
+    visited, left = crawl.crawl_rounds(spark, seeds, web, most_rounds=2)
+    assert {r.url for r in visited.collect()} == set(web.toPandas()["url"][:2]) and [r.url for r in left.collect()] == ["http://a.com:80/2"]
+    assert {r.url for r in crawl.crawl(spark, seeds, web).collect()} == set(web.toPandas()["url"])
+
+
 def test_streams(spark, tmp_path):
     rows = pd.DataFrame({"url": ["http://h/1", "http://h/2", "http://h/1", "http://g/1"], "ts": pd.to_datetime(["2024-01-01 00:00:00.0", "2024-01-01 00:00:00.2", "2024-01-01 00:00:05.0", "2024-01-01 00:00:00.0"]), "page": ["a b", "b", "c", "a"]})
     spark.createDataFrame(rows, "url string, ts timestamp, page string").coalesce(1).write.parquet(str(tmp_path / "in"))

@@ -54,21 +54,47 @@ def crawl_round(frontier: DataFrame, visited: DataFrame, web: DataFrame, robots:
     return fetched, later.unionAll(links_of(fetched, filtered))
 
 
-def crawl(spark: SparkSession, seeds: list[str], web: DataFrame, robots: DataFrame | None = None, filtered: bool = True, most_rounds: int = 100, most_frontier: int = 6000, sampled: int = 3000, seed: int = 1) -> DataFrame:
-    """``url, page`` of all that is fetched from the seeds on. A frontier of more than ``most_frontier`` URLs is
-    sampled down to about ``sampled``; 0 turns that off."""
-    frontier = written(spark.createDataFrame([(s,) for s in seeds], "url string").select(seed_normalize(F.col("url")).alias("url")).where("url is not null"), "crawl-seeds")
+def crawl_rounds(
+    spark: SparkSession,
+    seeds: list[str] | DataFrame,
+    web: DataFrame,
+    robots: DataFrame | None = None,
+    filtered: bool = True,
+    most_rounds: int | None = None,
+    most_frontier: int = 6000,
+    sampled: int = 3000,
+    seed: int = 1,
+    one_per_host: bool = True,
+) -> tuple[DataFrame, DataFrame]:
+    """(``url, page`` of all that is fetched from the seeds on, frontier that is left): rounds go on until the
+    frontier is empty, or for ``most_rounds`` of them.
+
+    ``seeds`` are URLs, or a table with a column ``url``. A frontier of more than ``most_frontier`` URLs is sampled
+    down to about ``sampled``; 0 turns that off. Without ``one_per_host`` a round fetches all that is known, so
+    there are as many rounds as the links are deep; what is fetched in the end is the same.
+    """
+    given = spark.createDataFrame([(s,) for s in seeds], "url string") if isinstance(seeds, list) else seeds
+    frontier = written(given.select(seed_normalize(F.col("url")).alias("url")).where("url is not null").distinct(), "crawl-seeds")
     visited = written(web.select("url", "page").limit(0), "crawl-0")
-    for k in range(most_rounds):
-        fetched, ahead = crawl_round(frontier, visited, web, robots, filtered)
+    k = 0
+    while not frontier.isEmpty() and (most_rounds is None or k < most_rounds):
+        fetched, ahead = crawl_round(frontier, visited, web, robots, filtered, one_per_host)
         fetched = written(fetched, f"crawl-fetched-{k}")
         visited = written(visited.unionByName(fetched), f"crawl-{k + 1}")
         frontier = written(unvisited(ahead, visited), f"crawl-frontier-{k}")
-        n = frontier.count()
-        if not n:
-            break
-        if most_frontier and n > most_frontier:
+        n = frontier.count() if most_frontier else 0
+        if n > most_frontier:
             frontier = written(frontier.sample(False, sampled / n, seed), f"crawl-sample-{k}")
+        k += 1
+    return visited, frontier
+
+
+def crawl(spark: SparkSession, seeds: list[str] | DataFrame, web: DataFrame, robots: DataFrame | None = None, filtered: bool = True, most_rounds: int | None = None, **settings) -> DataFrame:
+    """``url, page`` of all that ``crawl_rounds`` fetches until the frontier is empty; an error if ``most_rounds`` do
+    not get there, since what is left would be missing."""
+    visited, left = crawl_rounds(spark, seeds, web, robots, filtered, most_rounds, **settings)
+    if not left.isEmpty():
+        raise RuntimeError(f"{left.count()} URLs are still to be fetched after {most_rounds} rounds")
     return visited
 
 

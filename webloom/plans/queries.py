@@ -480,4 +480,5 @@ def q_crawl_round(spark, sf):
 @query
 def q_crawl_loop(spark, sf):
     seeds = [r.url for r in pages(spark, sf).orderBy("page_id").limit(5).collect()]
-    return crawl.crawl(spark, seeds, crawled(spark, sf), filtered=False, most_rounds=2).select("url", F.col("page").isNotNull().alias("found"))
+    visited, _ = crawl.crawl_rounds(spark, seeds, crawled(spark, sf), filtered=False, most_rounds=2)
+    return visited.select("url", F.col("page").isNotNull().alias("found"))
