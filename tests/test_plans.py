@@ -9,6 +9,7 @@ from webloom.functions.hashing import url_hash
 from webloom.functions.html import extract_links
 from webloom.functions.url import url_normalize
 from webloom.plans import crawl, index, pagerank, search
+from webloom.plans.queries import QUERIES
 from webloom.streaming import frontier
 
 HOST = "http://foo.com:80"
@@ -89,6 +90,34 @@ def test_crawl_does_not_stop_early_in_silence(spark):
     assert {r.url for r in crawl.crawl(spark, seeds, web).collect()} == set(web.toPandas()["url"])
 
 
+def test_whole_crawl_against_brute_force(spark, tmp_path):
+    links = {f"http://h{k % 3}.com:80/{k}": [f"http://h{j % 3}.com:80/{j}" for j in (k + 1, 7 * k % 12, 100 + k)] for k in range(12)}
+    rows = [(k, u, "".join(f'<a href="{v}">.</a>' for v in to)) for k, (u, to) in enumerate(links.items())]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    df.coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+
+    def brute(todo):
+        seen = set()
+        while todo:
+            u = todo.pop()
+            if u not in seen:
+                seen.add(u)
+                todo += links.get(u, [])
+        return {(u, u in links) for u in seen}
+
+    got = [(r.url, r.found) for r in QUERIES["crawl_whole"](spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(list(links))
+    # one URL a host a round, from one seed: the same as all at once
+    web = df.select("url", F.col("html").alias("page"))
+    some = {k: v for k, v in links.items() if k in list(links)[8:]}
+    few = web.where(F.col("url").isin(list(some)))
+    links = some
+    seed = list(some)[0]
+    for polite in (True, False):
+        visited = crawl.crawl(spark, [seed], few, filtered=False, one_per_host=polite)
+        assert {(r.url, r.page is not None) for r in visited.collect()} == brute([seed])
+
+
 def test_streams(spark, tmp_path):
     rows = pd.DataFrame({"url": ["http://h/1", "http://h/2", "http://h/1", "http://g/1"], "ts": pd.to_datetime(["2024-01-01 00:00:00.0", "2024-01-01 00:00:00.2", "2024-01-01 00:00:05.0", "2024-01-01 00:00:00.0"]), "page": ["a b", "b", "c", "a"]})
     spark.createDataFrame(rows, "url string, ts timestamp, page string").coalesce(1).write.parquet(str(tmp_path / "in"))

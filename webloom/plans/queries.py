@@ -482,3 +482,11 @@ def q_crawl_loop(spark, sf):
     seeds = [r.url for r in pages(spark, sf).orderBy("page_id").limit(5).collect()]
     visited, _ = crawl.crawl_rounds(spark, seeds, crawled(spark, sf), filtered=False, most_rounds=2)
     return visited.select("url", F.col("page").isNotNull().alias("found"))
+
+
+@query
+def q_crawl_whole(spark, sf):
+    """From all pages until the frontier is empty. Its rounds are not known beforehand, so it has no SQL."""
+    web = crawled(spark, sf)
+    visited = crawl.crawl(spark, web.select("url"), web, filtered=False, most_frontier=0, one_per_host=False)
+    return visited.select("url", F.col("page").isNotNull().alias("found")).distinct()
