@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from webloom.llm import language, queries
@@ -44,3 +45,19 @@ def test_edges(spark):
     assert language.predict(df.limit(0), model).count() == 0
     nothing = language.train(df.where("doc_id < 0"), F.lit(True))
     assert {r.lang_pred for r in language.predict(df, nothing).collect()} == {"und"}
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    def word(k):
+        return "".join(chr(0x4E00 + 3 * k + j) for j in range(3))
+
+    names = [f"l{k:03}" for k in range(420)]
+    rows = [(k * 10 + i, word(k), y) for k, y in enumerate(names) for i in range(2 if y == "l419" else 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(df, F.lit(True))
+    assert model.languages == names
+    got = [names[int(model.probabilities(word(k)).argmax())] for k in range(len(names))]
+    assert got == names
+    monkeypatch.setattr(language, "MOST_STATE", 1000)
+    with pytest.raises(ValueError, match="420 languages"):
+        language.train(df, F.lit(True))

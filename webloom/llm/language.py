@@ -3,9 +3,10 @@
 Texts are lower-cased, everything that isn't a letter becomes a gap, and the n-grams of one to three
 characters are hashed into ``2**FEATURE_BITS`` features. Document frequencies are counted over all training
 rows in Spark. The weights are fitted on a bounded sample of them (``TRAIN_ROWS`` of each language, those
-with the smallest hashes) by follow-the-regularised-leader, whose elastic-net penalties leave most at
-zero; a temperature is then fitted on the part of the sample kept aside. What is sent to the executors has
-a fixed size: one number a feature and one a feature and language.
+with the smallest hashes; fewer of each beyond ``MANY_LANGUAGES``) by follow-the-regularised-leader, whose
+elastic-net penalties leave most at zero; a temperature is then fitted on the part of the sample kept aside.
+Every language is learned; if their number is beyond what the driver can hold, that is an error. What is
+sent to the executors is at most one number a feature and one a feature and language.
 """
 
 from __future__ import annotations
@@ -19,8 +20,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from webloom.llm.common import hash_sample
 from webloom.workspace import written
 
-#: Rows of each language to fit on, at most; languages, at most; bits of a feature's index; longest n-gram.
-TRAIN_ROWS, MOST_LANGUAGES, FEATURE_BITS, LONGEST = 600, 400, 15, 3
+#: Rows of each language to fit on, at most; bits of a feature's index; longest n-gram.
+TRAIN_ROWS, FEATURE_BITS, LONGEST = 600, 15, 3
+#: Beyond so many languages each has fewer rows, since a row costs as much as there are languages, but ``LEAST_ROWS``.
+MANY_LANGUAGES, LEAST_ROWS = 400, 5
+#: What the driver holds at most: features that occur times languages (16 bytes each while fitting).
+MOST_STATE = 1 << 25
 #: What a text without a letter gets.
 UNKNOWN = "und"
 
@@ -63,8 +68,9 @@ def counts(text: str, bits: int = FEATURE_BITS) -> np.ndarray | None:
 
 
 class Model:
-    def __init__(self, languages: list[str], idf: np.ndarray, weights: np.ndarray, bias: np.ndarray, temperature: float, bits: int):
-        self.languages, self.idf, self.weights, self.bias, self.temperature, self.bits = languages, idf, weights, bias, temperature, bits
+    def __init__(self, languages: list[str], idf: np.ndarray, rows: np.ndarray, weights: np.ndarray, bias: np.ndarray, temperature: float, bits: int):
+        """``rows``: which of ``weights`` is a feature's; those of all zeros share the last."""
+        self.languages, self.idf, self.rows, self.weights, self.bias, self.temperature, self.bits = languages, idf, rows, weights, bias, temperature, bits
 
     def probabilities(self, text: str | None) -> np.ndarray | None:
         found = None if text is None or not self.languages else counts(text, self.bits)
@@ -72,7 +78,7 @@ class Model:
             return None
         at = np.flatnonzero(found)
         x = found[at] * self.idf[at]
-        z = (np.einsum("i,ij->j", x, self.weights[at]) / max(np.sqrt((x * x).sum()), 1e-12) + self.bias) / self.temperature
+        z = (np.einsum("i,ij->j", x, self.weights[self.rows[at]]) / max(np.sqrt((x * x).sum()), 1e-12) + self.bias) / self.temperature
         z = np.exp(z - z.max())
         return z / z.sum()
 
@@ -108,14 +114,22 @@ def document_frequencies(training: DataFrame, bits: int = FEATURE_BITS) -> tuple
 def fit(rows: list[tuple[str, str]], idf: np.ndarray, bits: int = FEATURE_BITS, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 2e-3, l2: float = 1e-3, aside: int = 5, seed: int = 5) -> Model:
     """FTRL-Proximal over single texts; every ``aside``-th row is kept for the temperature."""
     languages = sorted({y for _, y in rows})
+    place = {y: i for i, y in enumerate(languages)}
     data = []
     for text, y in rows:
         found = counts(text, bits)
         if found is not None:  # only what isn't zero is kept
             at = np.flatnonzero(found).astype(np.int32)
             x = found[at] * idf[at]
-            data.append((at, (x / max(np.sqrt(x @ x), 1e-12)).astype(np.float32), languages.index(y)))
-    size, k = 1 << bits, len(languages)
+            data.append((at, (x / max(np.sqrt(x @ x), 1e-12)).astype(np.float32), place[y]))
+    occurs = np.zeros(1 << bits, dtype=bool)
+    for at, *_ in data:
+        occurs[at] = True
+    rows_of = np.cumsum(occurs) - 1
+    data = [(rows_of[at], x, y) for at, x, y in data]
+    size, k = int(occurs.sum()), len(languages)
+    if size * k > MOST_STATE:
+        raise ValueError(f"{k} languages by {size} features are more than the driver holds ({MOST_STATE}): use fewer bits or languages")
     z, n = np.zeros((size + 1, k)), np.zeros((size + 1, k))
 
     def weights_of(at: np.ndarray) -> np.ndarray:
@@ -124,6 +138,8 @@ def fit(rows: list[tuple[str, str]], idf: np.ndarray, bits: int = FEATURE_BITS,
 
     rng = np.random.default_rng(seed)
     kept, held = [d for i, d in enumerate(data) if i % aside], [d for i, d in enumerate(data) if not i % aside]
+    known = {y for *_, y in kept}  # a language whose rows are all aside would not be learned
+    kept, held = kept + [d for d in held if d[2] not in known], [d for d in held if d[2] in known]
     for _ in range(epochs if k > 1 else 0):
         for i in rng.permutation(len(kept)):
             at, x, y = kept[i]
@@ -138,7 +154,7 @@ def fit(rows: list[tuple[str, str]], idf: np.ndarray, bits: int = FEATURE_BITS,
             z[at] += g - sigma * w
             n[at] += g * g
     w = weights_of(np.arange(size + 1))
-    model = Model(languages, idf, w[:-1], w[-1], 1.0, bits)
+    model = Model(languages, idf, np.where(occurs, rows_of, size), np.append(w[:-1], np.zeros((1, k)), 0), w[-1], 1.0, bits)
     if held and k > 1:
         logits = np.array([x @ w[at] + w[-1] for at, x, _ in held])
         truth = np.array([y for *_, y in held])
@@ -160,10 +176,14 @@ def train(docs: DataFrame, allowed: Column, per_language: int = TRAIN_ROWS, bits
     """A model of the rows that ``allowed`` holds for and whose ``lang`` isn't null."""
     training = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     n, df = document_frequencies(training, bits)
+    languages = training.select("lang").distinct().count()
+    if languages * LEAST_ROWS > TRAIN_ROWS * MANY_LANGUAGES:
+        raise ValueError(f"{languages} languages are more than the driver can learn ({TRAIN_ROWS * MANY_LANGUAGES // LEAST_ROWS})")
+    if languages > MANY_LANGUAGES:
+        per_language = min(per_language, max(LEAST_ROWS, int(per_language * (MANY_LANGUAGES / languages) ** 2)))
     ids = written(hash_sample(training.select("doc_id", "lang"), "lang", per_language), "language-sample")
-    common = ids.groupBy("lang").agg(F.count("*").alias("_c")).orderBy(F.desc("_c"), "lang").limit(MOST_LANGUAGES).select("lang")
-    # the ids are bounded (TRAIN_ROWS * MOST_LANGUAGES), so they may be broadcast
-    chosen = ids.join(F.broadcast(common), "lang", "left_semi").select("doc_id", "lang").distinct()
+    # the ids are bounded (TRAIN_ROWS * MANY_LANGUAGES by default), so they may be broadcast
+    chosen = ids.select("doc_id", "lang").distinct()
     sampled = training.join(F.broadcast(chosen), ["doc_id", "lang"]).select("text", "lang").toArrow()
     rows = sorted(zip(sampled["text"].to_pylist(), sampled["lang"].to_pylist()), key=lambda r: (_order(r[0]), r[1]))
     return fit(rows, np.log((1 + n) / (1 + df)) + 1.0, bits, **settings)
