@@ -27,13 +27,17 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest id stays (rows with a null id always stay)."""
-    found = simhash.near_duplicates(docs)
-    stays = written(found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("_n")), "pipeline-stays")
+    found = simhash.near_duplicates(docs, root=True)
+    names = F.col("doc_id") == F.col("component_id")
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("_n"), F.count(F.when(names, 1)).alias("_names"))
+    stays = written(ids.where("_names > 0").select("doc_id", "_n"), "pipeline-stays")
     # the ids that stay grow with the corpus, so they are never broadcast: one plan at every size
     kept = docs.join(stays.hint("merge"), "doc_id").select(*docs.columns, "_n")
     single, repeated = kept.where("_n = 1").drop("_n"), kept.where("_n > 1").drop("_n")
-    if not stays.where("_n > 1").isEmpty():  # rows that share an id: one of them
-        single = single.unionByName(repeated.dropDuplicates(["doc_id"]))
+    if not stays.where("_n > 1").isEmpty():  # rows that share an id: one of each component that it names
+        rows = simhash.fingerprints(repeated.select(F.struct(*docs.columns).alias("doc_id"), "text")).select("doc_id.*", F.col("fp").alias("_fp"))
+        of = found.where(names).join(stays.where("_n > 1").hint("merge"), "doc_id").select("doc_id", F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct()
+        single = single.unionByName(rows.join(of.hint("merge"), ["doc_id", "_fp"]).dropDuplicates(["doc_id", "_root"]).select(*docs.columns))
     return single.unionByName(docs.where("doc_id is null"))
 
 

@@ -54,3 +54,11 @@ def test_repeated_rows_leave_one(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = corpus_pipeline.drop_near_duplicates(spark, df, "").collect()
     assert sorted(str(r.doc_id) for r in got) == ["1", "None"]
+
+
+def test_one_id_on_unlike_texts(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in ("alpha", "bread", "cloud"))
+    rows = [(1, a, "x"), (1, b, "x"), (1, a, "x"), (3, c, "x"), (5, c, "x"), (5, c + " z", "x"), (5, "quite another text of few words", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect())
+    assert got == sorted([(1, a), (1, b), (3, c), (5, "quite another text of few words")])

@@ -225,17 +225,19 @@ def links(distinct: DataFrame) -> DataFrame:
     return spread.repartitionById(parts, "part").mapInArrow(_links, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, root: bool = False) -> DataFrame:
     """``doc_id, fp, component_id`` for every row of ``docs``; the component is named by its smallest doc_id.
 
     Rows with one fingerprint (exact copies among them) are one node, whatever their number. A null or
     wordless text has fingerprint 0 and links like any other. A null doc_id names no component; a component
     of such rows alone has a null id. Repeated ids and extra columns do no harm; no rows give no rows.
+    With ``root`` a column of that name tells components apart that an id shared by unlike texts names alike.
     """
+    more = ["root"] if root else []
     own = written(fingerprints(docs), "simhash-fp")
     nodes = written(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
     member = components(links(nodes)).select(F.col("node").alias("fp"), "root")
     rooted = written(nodes.join(member, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-rooted")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(rooted.join(written(named, "simhash-named"), "root").select("fp", "component_id"), "simhash-components")
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = written(rooted.join(written(named, "simhash-named"), "root").select("fp", "component_id", *more), "simhash-components")
+    return own.join(named, "fp").select("doc_id", "fp", "component_id", *more)
