@@ -46,6 +46,12 @@ def test_repeated_ids_and_no_rows(spark):
     assert topk.top_k(frame(spark, rows).limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_fewer_than_k_others_in_a_block():
+    vectors = np.array([[3, 1], [3, 1], [2, 2], [1, 0], [5, -1], [4, 4], [0, 9]], np.int64) * 100  # levels are steps of more than 1
+    index = topk.Index(np.array([0, 0, 0, 0, 1, 2, 3]), vectors)
+    assert index.search(vectors[:1], 5, np.array([0])) == [[(160_000, 2), (140_000, 1), (90_000, 3)]]
+
+
 def test_index_stops_on_proof_and_stays_exact():
     rng = np.random.default_rng(5)
     vectors = np.round(rng.standard_normal((3000, 32)) * 5).astype(np.int64)

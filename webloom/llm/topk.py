@@ -61,8 +61,10 @@ class Index:
             last = j + 1 == len(self.segments)
             if n > k + 1 and (last or j % 4 == 3 and j >= 7):
                 slack = weight * ((follows + 1) * self.step - 1)
-                ranked = np.where(mine, np.iinfo(np.int64).min, seen)
-                possible = seen >= np.partition(ranked, n - k, axis=0)[n - k] - 2 * slack
+                least = np.iinfo(np.int64).min
+                kth = np.partition(np.where(mine, least, seen), n - k, axis=0)[n - k]
+                # with fewer than k rows of others there is no k-th best, and all stay possible
+                possible = seen >= np.where(kth == least, least, kth - 2 * slack)
                 if not last and possible.sum(0).max() <= few:
                     break
         possible &= ~mine
