@@ -51,14 +51,66 @@ def test_held_out_accuracy(spark):
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     held = [d for d in truth if got[d].held_out]
     toxic, clean = [d for d in held if truth[d]], [d for d in held if not truth[d]]
-    # about a fifth of these toxic labels sit on texts without any word that tells them from clean ones
-    assert np.mean([got[d].predicted for d in toxic]) >= 0.75 and np.mean([got[d].predicted for d in clean]) <= 0.02
+    # 9 of these 144 toxic texts hold no word or stem that is found more often in toxic texts than in clean ones
+    assert np.mean([got[d].predicted for d in toxic]) >= 0.875 and np.mean([got[d].predicted for d in clean]) <= 0.01
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got.values())
 
 
+def test_slopes_against_differences():
+    rng = np.random.default_rng(3)
+    doc = np.repeat(np.arange(6), [1, 2, 5, 1, 3, 4])
+    z, labels, share = rng.normal(0, 2, len(doc)), np.array([1, 0, 1, 0, 1, 0]), rng.uniform(0.5, 2, 6)
+
+    def loss(z):
+        total = 0.0
+        for d in range(6):
+            none = math.prod(1 - 1 / (1 + math.exp(-x)) for x in z[doc == d])
+            total -= share[d] * math.log(1 - none if labels[d] else none)
+        return total / 6
+
+    for k, slope in enumerate(toxicity.slopes(z, doc, labels, share)):
+        up, down = z.copy(), z.copy()
+        up[k] += 1e-6
+        down[k] -= 1e-6
+        assert abs((loss(up) - loss(down)) / 2e-6 - slope) < 1e-6
+
+
+def test_fit_reaches_the_optimum_of_two_words():
+    # "bad" in half of the toxic texts alone, "good" everywhere: the loss of the fit is near the best of a grid
+    texts = ["good day"] * 60 + ["good bad day"] * 30 + ["good day"] * 10
+    labels = np.array([0] * 60 + [1] * 40)
+    model = toxicity.fit(texts, labels, l1=0.0, weight=1.0, steps=6000)
+    data, offsets = utf8(pa.array(["good day", "good bad day"]))
+    plain, bad = model.documents(data, offsets)
+
+    def loss(a, b):
+        return -(0.5 * math.log(1 - a) + 0.5 * (0.75 * math.log(b) + 0.25 * math.log(a)))
+
+    best = min(loss(a / 200, b / 200) for a in range(1, 200) for b in range(1, 200))
+    assert loss(plain, bad) <= best + 0.02 and bad > 0.95, (plain, bad)
+
+
 def test_hash_sample(spark):
-    rows = spark.createDataFrame([(i, "a" if i % 10 else "b") for i in range(5000)], "doc_id long, g string")
-    got = hash_sample(rows, "g", 30).collect()
-    assert sorted(r.g for r in got) == ["a"] * 30 + ["b"] * 30
-    order = rows.select("doc_id", "g", F.shiftrightunsigned(F.xxhash64("doc_id"), 33).alias("h")).orderBy("h").collect()
-    assert {r.doc_id for r in got} == {r.doc_id for g in "ab" for r in [x for x in order if x.g == g][:30]}
+    rows = spark.createDataFrame([(i, "a" if i % 10 else "b") for i in range(5000)] + [(1, "a")] * 3000 + [(7, "c")] * 4000, "doc_id long, g string")
+    got = hash_sample(rows, "g", 30, F.xxhash64("doc_id")).distinct().collect()
+    size = {g: sum(r.g == g for r in got) for g in "abc"}
+    assert 12 <= size["a"] <= 60 and 12 <= size["b"] <= 60 and size["c"] == 1  # no group is lost, repeats don't crowd out others
+    order = rows.select("doc_id", "g", F.shiftrightunsigned(F.xxhash64("doc_id"), 33).alias("h")).distinct().orderBy("h").collect()
+    assert {r.doc_id for r in got} == {r.doc_id for g in "abc" for r in [x for x in order if x.g == g][: size[g]]}
+    assert hash_sample(rows.limit(0), "g", 30, F.xxhash64("doc_id")).count() == 0
+
+
+def test_bytes_of_the_sample_are_bounded(spark):
+    docs = spark.createDataFrame([(i, "word " * 200) for i in range(300)] + [(1000, "x" * 5000), (3, "word " * 100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(1000, 1), (3, 0)], "doc_id long, toxic int")
+    rows = toxicity.sample(docs, labels, F.lit(True), row_bytes=2000).collect()
+    assert len(rows) == 300 and sorted(len(r.text) for r in rows)[:2] == [500, 1000]
+    few = toxicity.sample(docs, labels, F.lit(True), row_bytes=2000, train_bytes=100_000).collect()
+    assert 30 <= len(few) <= 100 and sum(len(r.text) for r in few) <= 100_000
+
+
+def test_a_column_called_score_is_replaced(spark):
+    model = toxicity.fit([r[1] for r in rows_of()], np.array([r[2] for r in rows_of()]))
+    df = spark.createDataFrame([(1, "you vile toad", "old", 5.0), (2, None, "old", None)], "doc_id long, text string, Score string, label double")
+    got = toxicity.score(df, model)
+    assert got.columns == ["doc_id", "text", "label", "score"] and {r.doc_id: r.score >= 0.7 for r in got.collect()} == {1: True, 2: False}

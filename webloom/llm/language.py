@@ -2,9 +2,11 @@
 
 Texts are lower-cased, everything that isn't a letter becomes a gap, and the n-grams of one to three
 characters are hashed into ``2**FEATURE_BITS`` features. Document frequencies are counted over all training
-rows in Spark. The weights are fitted on a bounded sample of them (``TRAIN_ROWS`` of each language, those
-with the smallest hashes; fewer of each beyond ``MANY_LANGUAGES``) by follow-the-regularised-leader, whose
-elastic-net penalties leave most at zero; a temperature is then fitted on the part of the sample kept aside.
+rows in Spark. The weights are fitted on a bounded sample of them (about ``TRAIN_ROWS`` texts of each language,
+those with the smallest hashes; fewer of each beyond ``MANY_LANGUAGES`` or where their features are more than
+``MOST_VALUES``) by follow-the-regularised-leader, whose elastic-net penalties leave most at zero; a temperature
+is then fitted on the part of the sample kept aside. The driver receives the features of sampled texts, never
+the texts.
 Every language is learned; if their number is beyond what the driver can hold, that is an error. What is
 sent to the executors is at most one number a feature and one a feature and language.
 """
@@ -20,12 +22,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from webloom.llm.common import hash_sample
 from webloom.workspace import written
 
-#: Rows of each language to fit on, at most; bits of a feature's index; longest n-gram.
+#: Texts of each language to fit on, about; bits of a feature's index; longest n-gram.
 TRAIN_ROWS, FEATURE_BITS, LONGEST = 600, 15, 3
 #: Beyond so many languages each has fewer rows, since a row costs as much as there are languages, but ``LEAST_ROWS``.
 MANY_LANGUAGES, LEAST_ROWS = 400, 5
 #: What the driver holds at most: features that occur times languages (16 bytes each while fitting).
 MOST_STATE = 1 << 25
+#: Non-zero features of all sampled texts, at most (8 bytes each).
+MOST_VALUES = 1 << 24
 #: What a text without a letter gets.
 UNKNOWN = "und"
 
@@ -111,17 +115,15 @@ def document_frequencies(training: DataFrame, bits: int = FEATURE_BITS) -> tuple
     return n, out
 
 
-def fit(rows: list[tuple[str, str]], idf: np.ndarray, bits: int = FEATURE_BITS, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 2e-3, l2: float = 1e-3, aside: int = 5, seed: int = 5) -> Model:
-    """FTRL-Proximal over single texts; every ``aside``-th row is kept for the temperature."""
-    languages = sorted({y for _, y in rows})
+def fit(rows: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray, bits: int = FEATURE_BITS, epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 2e-3, l2: float = 1e-3, aside: int = 5, seed: int = 5) -> Model:
+    """FTRL-Proximal over single texts (their features, how often each occurs, the language); every ``aside``-th
+    row is kept for the temperature."""
+    languages = sorted({y for *_, y in rows})
     place = {y: i for i, y in enumerate(languages)}
     data = []
-    for text, y in rows:
-        found = counts(text, bits)
-        if found is not None:  # only what isn't zero is kept
-            at = np.flatnonzero(found).astype(np.int32)
-            x = found[at] * idf[at]
-            data.append((at, (x / max(np.sqrt(x @ x), 1e-12)).astype(np.float32), place[y]))
+    for at, n_at, y in rows:
+        x = n_at * idf[at]
+        data.append((at, (x / max(np.sqrt(x @ x), 1e-12)).astype(np.float32), place[y]))
     occurs = np.zeros(1 << bits, dtype=bool)
     for at, *_ in data:
         occurs[at] = True
@@ -173,31 +175,56 @@ def fit(rows: list[tuple[str, str]], idf: np.ndarray, bits: int = FEATURE_BITS,
 
 
 def train(docs: DataFrame, allowed: Column, per_language: int = TRAIN_ROWS, bits: int = FEATURE_BITS, **settings) -> Model:
-    """A model of the rows that ``allowed`` holds for and whose ``lang`` isn't null."""
-    training = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    """A model of the rows that ``allowed`` holds for and whose ``lang`` and text aren't null, whatever their id.
+
+    A language none of whose texts has a letter can't be learned. Equal texts of one language count once."""
+    training = docs.where(allowed & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"))
     n, df = document_frequencies(training, bits)
     languages = training.select("lang").distinct().count()
     if languages * LEAST_ROWS > TRAIN_ROWS * MANY_LANGUAGES:
         raise ValueError(f"{languages} languages are more than the driver can learn ({TRAIN_ROWS * MANY_LANGUAGES // LEAST_ROWS})")
     if languages > MANY_LANGUAGES:
         per_language = min(per_language, max(LEAST_ROWS, int(per_language * (MANY_LANGUAGES / languages) ** 2)))
-    ids = written(hash_sample(training.select("doc_id", "lang"), "lang", per_language), "language-sample")
-    # the ids are bounded (TRAIN_ROWS * MANY_LANGUAGES by default), so they may be broadcast
-    chosen = ids.select("doc_id", "lang").distinct()
-    sampled = training.join(F.broadcast(chosen), ["doc_id", "lang"]).select("text", "lang").toArrow()
-    rows = sorted(zip(sampled["text"].to_pylist(), sampled["lang"].to_pylist()), key=lambda r: (_order(r[0]), r[1]))
-    return fit(rows, np.log((1 + n) / (1 + df)) + 1.0, bits, **settings)
-
-
-def _order(text: str) -> int:
-    from xxhash import xxh64_intdigest
+    place = F.xxhash64("text")
+    sampled = hash_sample(training.select("lang", "text"), "lang", per_language, place).distinct()
+    vectors = written(sampled.mapInArrow(_vectors(bits), "lang string, place long, feature array<int>, times array<float>"), "language-sample")
+    few, k = vectors, per_language
+    while (total := few.agg(F.sum(F.size("feature"))).first()[0] or 0) > MOST_VALUES and k > LEAST_ROWS:
+        k = max(LEAST_ROWS, int(min(k, few.count() / languages) * MOST_VALUES / total * 0.9))
+        few = hash_sample(vectors, "lang", k, F.col("place"))
+    got = few.toArrow().sort_by([("place", "ascending"), ("lang", "ascending")])  # not the order of arrival
+    lists = [[np.asarray(x.values) for x in got[c].combine_chunks()] if got.num_rows else [] for c in ("feature", "times")]
+    return fit(list(zip(*lists, got["lang"].to_pylist())), np.log((1 + n) / (1 + df)) + 1.0, bits, **settings)
+
+
+def _vectors(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
 
-    return xxh64_intdigest(text)
+        for b in batches:
+            for k in range(0, b.num_rows, 256):
+                rows = []
+                for y, t in zip(b.column("lang").slice(k, 256).to_pylist(), b.column("text").slice(k, 256)):
+                    found = counts(t.as_py(), bits)
+                    if found is not None:
+                        at = np.flatnonzero(found)
+                        rows.append((y, xxh64_intdigest(t.as_buffer()) - (1 << 63), at.astype(np.int32), found[at].astype(np.float32)))
+                names, places, features, times = zip(*rows) if rows else ((),) * 4
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names, pa.string()), pa.array(places, pa.int64()), pa.array(features, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.float32()))],
+                    names=["lang", "place", "feature", "times"],
+                )
+
+    return run
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``lang_pred`` (a language of the model; ``und`` for a null text or one without a letter)
-    and ``score``, its calibrated probability (1 for ``und``). Whole texts are read; no rows give no rows."""
+    and ``score``, its calibrated probability (1 for ``und``).
+
+    Whole texts are read. Columns of these names that ``docs`` has are replaced; repeated rows and ids are judged
+    one by one; no rows give no rows."""
+    docs = docs.drop("lang_pred", "score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
