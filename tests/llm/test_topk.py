@@ -52,13 +52,46 @@ def test_fewer_than_k_others_in_a_block():
     assert index.search(vectors[:1], 5, np.array([0])) == [[(160_000, 2), (140_000, 1), (90_000, 3)]]
 
 
+def exact(vectors, query, own, k=5):
+    score = vectors @ query
+    return [(-s, i) for s, i in sorted((-int(s), i) for i, s in enumerate(score) if i != own)[:k]]
+
+
 def test_index_stops_on_proof_and_stays_exact():
     rng = np.random.default_rng(5)
-    vectors = np.round(rng.standard_normal((3000, 32)) * 5).astype(np.int64)
-    vectors[:40] *= 40  # a few stand out, so that bounds prove the rest out early
-    index = topk.Index(np.arange(3000), vectors)
-    queries = vectors[:64]
-    for q, found in enumerate(index.search(queries, 5, np.arange(64))):
-        score = vectors @ queries[q]
-        want = sorted((-int(s), i) for i, s in enumerate(score) if i != q)[:5]
-        assert found == [(-s, i) for s, i in want]
+    centres = rng.standard_normal((60, 64))
+    vectors = np.round((centres[rng.integers(0, 60, 3000)] + 0.5 * rng.standard_normal((3000, 64))) * 100).astype(np.int64)
+    index, report = topk.Index(np.arange(3000), vectors), []
+    for q, found in enumerate(index.search(vectors[:64], 5, np.arange(64), report=report)):
+        assert found == exact(vectors, vectors[q], q)
+    assert len(report) == 64 and max(report) < 0.9 and sum(report) / 64 < 0.7  # every query stops before the end
+
+
+def test_vectors_of_the_table_stop_on_proof(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", topk.whole_numbers(F.col("embedding")).alias("v")).orderBy("vec_id").toArrow()
+    ids, vectors = np.asarray(rows["vec_id"]), topk._matrix(rows["v"].combine_chunks())
+    index, report, own = topk.Index(ids, vectors), [], np.flatnonzero(ids % 50 == 0)
+    found = index.search(vectors[own], 5, ids[own], report=report)
+    assert all(x == [(s, int(ids[i])) for s, i in exact(vectors, vectors[q], q)] for x, q in zip(found, own))
+    assert sum(r < 1 for r in report) >= 0.9 * len(own) == 0.9 * len(report) and sum(report) / len(report) < 0.9
+
+
+def test_floors_from_elsewhere_leave_out_only_what_lies_below():
+    rng = np.random.default_rng(6)
+    vectors = np.round(rng.standard_normal((500, 16)) * 50).astype(np.int64)
+    index = topk.Index(np.arange(500), vectors)
+    want = [exact(vectors, vectors[q], q) for q in range(8)]
+    floors = np.array([w[2][0] for w in want], dtype=np.float64)
+    got = index.search(vectors[:8], 5, np.arange(8), floors)
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+
+
+def test_no_impacts():
+    vectors = np.zeros((20, 3), np.int64)
+    assert topk.Index(np.arange(20), vectors).search(vectors[:1], 2, np.array([0])) == [[(0, 1), (0, 2)]]
+
+
+def test_one_id_with_unlike_vectors(spark):
+    rows = [(0, [1.0, 0.0], 0, ""), (0, [0.0, 1.0], 0, ""), (1, [2.0, 1.0], 0, ""), (2, [1.0, 3.0], 0, ""), (None, [1.0, 3.0], 0, "")]
+    got = topk.top_k(frame(spark, rows), F.col("vec_id") % 50 == 0, k=1).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r["score"]) for r in got) == [(0, 1, 1, 131072), (0, 1, 2, 196608)]

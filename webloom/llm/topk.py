@@ -1,16 +1,19 @@
 """Exact top-k inner products over an impact-ordered index, score at a time.
 
-Components are whole numbers. Within a block of candidates the size of every component is quantised
-downwards to a few impact levels; a posting segment holds the candidates of one dimension, sign and level.
-Segments are processed by descending impact, for a group of queries at once: each adds query component
-times impact to the accumulators of its candidates. After a level every score is known up to a slack, what
-quantising has lost and what the segments still to come can add at most. Processing stops once the slack
-proves that few candidates can be among the best k; these are scored again from whole vectors. Without
-such a proof all segments are processed and whatever is still possible is scored again, so the result is
-exact either way.
-
-Candidates lie in blocks of ``BLOCK`` vectors or so, queries come in blocks of ``QUERIES``; each pair of
-blocks is one piece of work, so neither a block nor a set of equal vectors grows with the table.
+Components are whole numbers. Within a block of candidates the size of every component is quantised to the
+middle of one of a few impact levels; a posting segment holds the candidates of one dimension and level with
+their signed impacts. Segments are processed by descending impact, for a group of queries at once: each adds
+query component times impact to the accumulators of its candidates. What a vector still hides after a level
+is known by its norm, which the index stores; by Cauchy and Schwarz a score differs from its accumulator by at
+most that norm times the query's. The k best accumulators are scored exactly, so the k-th of those scores is a
+proven floor. A query stops, and leaves its group, as soon as only few candidates can reach its floor; these
+are scored again from whole vectors. Without such a proof all segments are processed and whatever is still
+possible is scored again, so the result is exact either way.
+
+Candidates are written once, dealt evenly; a task indexes a block of them at a time, once for all queries of
+a round, and passes the floors on from block to block. The queries of a round are broadcast: ``QUERIES`` of
+them at most, by the writer's limit of rows a file. Vectors are never shuffled again and nothing is paired
+but by the index, so neither a block nor a set of equal vectors grows with the table.
 """
 
 from __future__ import annotations
@@ -21,59 +24,101 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from webloom.workspace import partitions, written
+from webloom.workspace import dropped, partitions, written
 
-BLOCK, LEAST_BLOCK, QUERIES, LEVELS, FEW, GROUP = 8192, 1024, 16384, 24, 256, 64
+#: Vectors of a block at most, and at least; queries of a round; impact levels; queries of a group.
+BLOCK, LEAST_BLOCK, QUERIES, LEVELS, GROUP = 8192, 1024, 16384, 32, 64
+#: A query stops when at most so many candidates, or this share of the block, are possible.
+FEW, FEW_SHARE = 64, 1 / 32
 
 
 class Index:
-    """Impact-ordered postings of one block: whole-number vectors (rows) with their ids, ascending."""
+    """Impact-ordered postings of one block: whole-number vectors (rows) with their ids."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: int = LEVELS):
         self.ids, self.vectors = ids, vectors
         size = np.abs(vectors)
-        self.step = int(-(-(size.max(initial=0) + 1) // levels))
-        level = size // self.step
-        self.segments = []  # (level, [(dimension, signed impact, rows)]), by descending level
+        step = max(1, int(-(-(size.max(initial=0) + 1) // levels)))
+        level = size // step
         dim, row = np.nonzero(level.T)
-        own, up = level[row, dim], vectors[row, dim] > 0
-        order = np.lexsort((row, up, dim, -own))
-        dim, row, own, up = dim[order], row[order], own[order], up[order]
+        own = level[row, dim]
+        order = np.lexsort((row, dim, -own))
+        dim, row, own = dim[order], row[order], own[order]
+        value = vectors[row, dim]
+        impact = np.sign(value) * (own * step + step // 2)
+        self.postings = len(row)
         new = np.ones(len(row), dtype=bool)
-        new[1:] = (own[1:] != own[:-1]) | (dim[1:] != dim[:-1]) | (up[1:] != up[:-1])
-        at = np.flatnonzero(new)
-        for a, b in zip(at, [*at[1:], len(row)]):
-            if not self.segments or self.segments[-1][0] != own[a]:
-                self.segments.append((int(own[a]), []))
-            self.segments[-1][1].append((int(dim[a]), int(own[a]) * self.step * (1 if up[a] else -1), row[a:b]))
-
-    def search(self, queries: np.ndarray, k: int, own: np.ndarray, few: int = FEW) -> list[list[tuple[int, int]]]:
-        """For each query [(score, id)] of the best k, by descending score, then ascending id; ``own`` ids are left out."""
-        n = len(self.ids)
-        weight = np.abs(queries).sum(1)
-        mine = self.ids[:, None] == own[None, :]
-        seen = np.zeros((n, len(queries)), np.int64)
-        possible = np.ones((n, len(queries)), dtype=bool)
-        for j, (level, segments) in enumerate(self.segments):
-            for d, impact, rows in segments:
-                seen[rows] += queries[:, d] * impact
-            follows = self.segments[j + 1][0] if j + 1 < len(self.segments) else 0
-            last = j + 1 == len(self.segments)
-            if n > k + 1 and (last or j % 4 == 3 and j >= 7):
-                slack = weight * ((follows + 1) * self.step - 1)
-                least = np.iinfo(np.int64).min
-                kth = np.partition(np.where(mine, least, seen), n - k, axis=0)[n - k]
-                # with fewer than k rows of others there is no k-th best, and all stay possible
-                possible = seen >= np.where(kth == least, least, kth - 2 * slack)
-                if not last and possible.sum(0).max() <= few:
-                    break
-        possible &= ~mine
-        out = []
-        for q, query in enumerate(queries):
-            rows = np.flatnonzero(possible[:, q])
-            score = self.vectors[rows] @ query
-            best = np.lexsort((self.ids[rows], -score))[:k]
-            out.append([(int(score[b]), int(self.ids[rows[b]])) for b in best])
+        new[1:] = (own[1:] != own[:-1]) | (dim[1:] != dim[:-1])
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(row))
+        # of each level: its segments (dimension, rows, signed impacts), postings up to it, norms of what is left after it
+        self.levels: list[tuple[list, int, np.ndarray]] = []
+        left = (vectors.astype(np.float64) ** 2).sum(1)
+        for at in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(own[starts])) + 1):
+            if not len(at):
+                continue
+            a, b = starts[at[0]], ends[at[-1]]
+            v = value[a:b].astype(np.float64)
+            left = left + np.bincount(row[a:b], (v - impact[a:b]) ** 2 - v * v, len(ids))
+            segments = [(int(dim[i]), row[i:j], impact[i:j]) for i, j in zip(starts[at], ends[at])]
+            self.levels.append((segments, int(b), np.sqrt(np.maximum(left, 0))))
+        if not self.levels:  # all zeros
+            self.levels.append(([], 0, np.sqrt(left)))
+        #: Norm of the longest vector of impacts.
+        self.longest = float(np.sqrt(np.bincount(row, impact.astype(np.float64) ** 2, len(ids)).max(initial=0)))
+
+    def search(self, queries: np.ndarray, k: int, own: np.ndarray, floors: np.ndarray | None = None, report: list | None = None) -> list[list[tuple[int, int]]]:
+        """For each query [(score, id)] of the best k, by descending score, then ascending id; ``own`` ids are left out.
+
+        ``floors`` are scores that k candidates elsewhere are known to reach: what lies below may be missing.
+        ``report`` receives for each query the share of all postings processed.
+        """
+        n, few = len(self.ids), max(FEW, int(len(self.ids) * FEW_SHARE))
+        out: list[list[tuple[int, int]]] = [[] for _ in queries]
+        active = np.arange(len(queries))
+        norm = np.sqrt((queries.astype(np.float64) ** 2).sum(1))
+        floor = np.full(len(queries), -np.inf) if floors is None else floors.astype(np.float64)
+        # accumulators of four bytes where none can outgrow them
+        kind = np.int32 if norm.max(initial=0) * self.longest < 2**31 - 1 else np.int64
+        least = np.iinfo(kind).min
+        seen, q = np.zeros((n, len(queries)), kind), queries.astype(kind)
+        ahead = 0.25
+        for j, (segments, done, left) in enumerate(self.levels):
+            for d, rows, impact in segments:
+                seen[rows] += impact.astype(kind)[:, None] * q[:, d]
+            last = j + 1 == len(self.levels)
+            if not last and done < ahead * self.postings:
+                continue
+            ahead = done / max(1, self.postings) + 0.08
+            guess = seen.T.copy()  # a row a query
+            mine = [np.flatnonzero(self.ids == i) for i in own[active].tolist()]
+            for c, rows in enumerate(mine):
+                guess[c, rows] = least
+            if n > k + 1:
+                # the best so far, scored exactly; rows of the query's own don't count
+                top = np.argpartition(guess, n - k, axis=1)[:, n - k :]
+                exact = np.einsum("qkd,qd->qk", self.vectors[top], queries[active])
+                exact = np.where(self.ids[top] == own[active, None], -np.inf, exact)
+                floor[active] = np.maximum(floor[active], exact.min(1))
+                # a margin for the rounding of norms
+                slack = left * norm[active, None] * (1 + 1e-9) + 1
+                possible = guess + slack >= floor[active, None]
+            else:
+                possible = np.ones(guess.shape, dtype=bool)
+            for c, rows in enumerate(mine):
+                possible[c, rows] = False
+            ready = last | (possible.sum(1) <= few)
+            for c in np.flatnonzero(ready).tolist():
+                rows = np.flatnonzero(possible[c])
+                score = self.vectors[rows] @ queries[active[c]]
+                best = np.lexsort((self.ids[rows], -score))[:k]
+                out[active[c]] = list(zip(score[best].tolist(), self.ids[rows[best]].tolist()))
+            if report is not None:
+                report += [done / max(1, self.postings)] * int(ready.sum())
+            if ready.any():
+                active, seen, q = active[~ready], seen[:, ~ready], q[~ready]
+            if not len(active):
+                break
         return out
 
 
@@ -87,21 +132,45 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return out
 
 
-def _search(k: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int]] = []
-        if left.num_rows and right.num_rows:
-            block = left.sort_by("vec_id")
-            ids, vectors = np.asarray(block["vec_id"]), _matrix(block["v"].combine_chunks())
-            q_ids, queries = np.asarray(right["vec_id"]), _matrix(right["v"].combine_chunks())
+def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of ``block`` rows at a time."""
+    held, n = [], 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        table = pa.Table.from_batches(held)
+        return np.asarray(table["vec_id"]), _matrix(pa.concat_arrays(table["v"].chunks))
+
+    for b in batches:
+        while b.num_rows:
+            part, b = b.slice(0, block - n), b.slice(block - n)
+            held.append(part)
+            n += part.num_rows
+            if n == block:
+                yield joined()
+                held, n = [], 0
+    if n:
+        yield joined()
+
+
+def _search(sent, k: int, block: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q_ids, queries = sent.value
+        best: list[list[tuple[int, int]]] = [[] for _ in q_ids]
+        floors = np.full(len(q_ids), -np.inf)
+        for ids, vectors in _blocks(batches, block):
             dims = max(vectors.shape[1], queries.shape[1])
-            vectors, queries = (np.pad(x, ((0, 0), (0, dims - x.shape[1]))) for x in (vectors, queries))
-            index = Index(ids, vectors)
+            index = Index(ids, np.pad(vectors, ((0, 0), (0, dims - vectors.shape[1]))))
+            wide = np.pad(queries, ((0, 0), (0, dims - queries.shape[1])))
             for i in range(0, len(q_ids), GROUP):
-                own = q_ids[i : i + GROUP]
-                out += [(q, score, vec) for q, found in zip(own.tolist(), index.search(queries[i : i + GROUP], k, own)) for score, vec in found]
-        a = np.array(out, dtype=np.int64).reshape(-1, 3)
-        return pa.table({"query_id": a[:, 0], "score": a[:, 1], "vec_id": a[:, 2]})
+                part = slice(i, i + GROUP)
+                for c, found in enumerate(index.search(wide[part], k, q_ids[part], floors[part])):
+                    if found:
+                        best[i + c] = sorted(best[i + c] + found, key=lambda x: (-x[0], x[1]))[:k]
+                        if len(best[i + c]) == k:
+                            floors[i + c] = best[i + c][-1][0]
+        rows = np.array([(c, q_ids[c], *x) for c, found in enumerate(best) for x in found], dtype=np.int64).reshape(-1, 4)
+        for i in range(0, len(rows), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(rows[i : i + 10_000, c]) for c in range(4)], names=["query", "query_id", "score", "vec_id"])
 
     return run
 
@@ -117,19 +186,29 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, scale: float = 256.0,
 
     Equal scores go to the smaller vec_id; a query has fewer rows if there are fewer candidates. Rows whose
     id is null, and vectors that are null or hold a null or non-finite component, take no part. Rows that
-    repeat a query's id count as the query's own; other repeated ids stay separate candidates. Vectors of
-    different lengths are compared as if filled up with zeros. No rows give no rows.
+    repeat a query's id count as the query's own; other repeated ids stay separate candidates. An id with
+    unlike vectors is a query for each of them. Vectors of different lengths are compared as if filled up with
+    zeros. Other columns do no harm. No rows give no rows.
     """
-    kept = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), queries.alias("_query"), whole_numbers(F.col(vector), scale).alias("v")).where("v is not null")
-    kept = written(kept, "topk-vectors")
-    n, q = kept.agg(F.count("*"), F.count(F.when(F.col("_query"), 1))).first()
-    # pieces: every block of queries against every block of candidates
-    blocks = max(-(-n // block), min(partitions(vectors.sparkSession), -(-n // LEAST_BLOCK))) or 1
-    query_blocks = -(-q // per_query_block) or 1
-    spread = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")
-    mine = F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")
-    left = kept.select("vec_id", "v", spread.alias("b")).select("vec_id", "v", "b", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("q"))
-    right = kept.where("_query").dropDuplicates(["vec_id", "v"]).select("vec_id", "v", mine.alias("q")).select("vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), "q")
-    found = left.groupBy("b", "q").cogroup(right.groupBy("b", "q")).applyInArrow(_search(k), "query_id long, score long, vec_id long")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    spark = vectors.sparkSession
+    kept = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), F.coalesce(queries, F.lit(False)).alias("_query"), whole_numbers(F.col(vector), scale).alias("v")).where("v is not null")
+    n = vectors.count()
+    parts = max(-(-n // block), min(partitions(spark), -(-n // LEAST_BLOCK)), 1)
+    dealt = written(kept.repartition(parts), "topk-vectors")
+    asked = dealt.where("_query").select("vec_id", "v").distinct()
+    rounds = max(1, -(-dealt.where("_query").count() // per_query_block))
+    asked = written(asked.repartition(rounds), "topk-queries", maxRecordsPerFile=per_query_block)
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    order = W.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
+    for file in asked.inputFiles():
+        rows = spark.read.schema(asked.schema).parquet(file).toArrow()  # per_query_block at most
+        if not rows.num_rows:
+            continue
+        sent = spark.sparkContext.broadcast((np.asarray(rows["vec_id"]), _matrix(rows["v"].combine_chunks())))
+        found = dealt.select("vec_id", "v").mapInArrow(_search(sent, k, block), "query long, query_id long, score long, vec_id long")
+        ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        out = out.unionByName(written(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "topk-found"))
+        sent.destroy()
+    dropped(dealt)
+    dropped(asked)
+    return out
