@@ -3,7 +3,8 @@
 The pass goes over the boundaries between characters and keeps, for each, the piece that a best path ends
 with. A piece has ``longest`` characters at most, so what follows depends only on the last ``longest``
 boundaries: this is the window. Whenever all paths that survive in it run through one boundary, the ids up
-to there are committed and their back-pointers dropped, so memory doesn't grow with the text.
+to there are committed and their back-pointers dropped. What goes on from there is that boundary, the piece
+before it and the characters after it, nothing else; so memory doesn't grow with the text.
 
 Both kinds of models fit this:
 
@@ -13,9 +14,10 @@ Both kinds of models fit this:
   boundary has one surviving path, and a piece may extend it if merging leaves the joint alone.
 
 Where no piece of the vocabulary holds a space mark after another character, every path runs through the
-boundary before a space mark; then words are segments of their own, and equal ones are encoded once.
-``encode_stream`` is the pass over one segment of any length; ``Vocabulary.encode`` runs the same
-recurrence over all short segments of a batch side by side, as arrays.
+boundary before a space mark; then words are segments of their own, and equal ones are encoded once. All
+segments, of many texts, go through one pass side by side, as lanes of arrays, ``STRETCH`` boundaries at a time;
+after each stretch every lane commits. Texts are read ``PIECE_CHARS`` characters at a time, and a lane that the
+end of such a piece cuts goes on in the next one from its last commit.
 
 Ids are those of the installed sentencepiece library; the vocabulary file is a parameter, read on the driver.
 """
@@ -32,10 +34,10 @@ from pyspark.sql import DataFrame, SparkSession, types as T
 from webloom.llm.textvec import mix64, utf8
 
 MARK = "▁"
-#: Longest segment, in characters, that is handled side by side with others; characters handled at a time.
-SIDE_BY_SIDE, PIECE_CHARS = 48, 1 << 20
+#: Boundaries that a lane goes on by before it commits; characters handled at a time.
+STRETCH, PIECE_CHARS = 64, 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_NONE = -1
+_NONE, _DEAD = -1, -3
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, object]]:
@@ -215,69 +217,14 @@ class Vocabulary:
             i, j = i[go] + by_left, j[go] + ~by_left
         return out
 
-    # one segment, of any length
-
-    def encode_stream(self, text: str, joint_cache: dict | None = None) -> Iterator[int]:
-        """Ids of the pieces of one segment (characters without a piece as ids from ``n`` on), committed as paths converge."""
-        cache = {} if joint_cache is None else joint_cache
-        size = self.longest
-        back: dict[int, tuple[int, int, float]] = {0: (-1, _NONE, 0.0)}  # boundary: (the one before, the piece between, score)
-        done, n = 0, len(text)
-        for i in range(1, n + 1):
-            best = None
-            for j in range(max(done, i - size), i):
-                before = back.get(j)
-                if before is None:
-                    continue
-                piece = self.reachable.get(text[j:i], _NONE)
-                if piece < 0:
-                    if i - j > 1 or (text[j:i] in self.reachable):
-                        continue
-                    piece = self.ids.get(text[j:i], self.unknown)
-                if self.bpe:
-                    if before[1] >= 0:
-                        pair = (before[1], piece)
-                        ok = cache.get(pair)
-                        if ok is None:
-                            ok = cache[pair] = bool(self.joints(np.array([pair[0]]), np.array([piece]))[0])
-                        if not ok:
-                            continue
-                    best = (j, piece, 0.0)
-                    break
-                score = before[2] + self.scores[piece]
-                if best is None or score > best[2]:
-                    best = (j, piece, score)
-            back[i] = best
-            if i % (4 * size) == 0 or i == n:
-                # where do the paths to the last boundaries meet?
-                alive = {k for k in range(max(done, i - size + 1), i + 1) if k in back} if i < n else {n}
-                while len(alive) > 1:
-                    last = max(alive)
-                    alive.discard(last)
-                    alive.add(back[last][0] if last > done else done)
-                meet = alive.pop()
-                path, at = [], meet
-                while at > done:
-                    path.append(back[at][1])
-                    at = back[at][0]
-                yield from reversed(path)
-                if meet > done:
-                    for k in range(done, meet):
-                        back.pop(k, None)
-                    done = meet
-
-    # all short segments of a batch
-
-    def _side_by_side(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(pieces, how many of each segment) for segments of at most ``SIDE_BY_SIDE`` characters."""
-        order = np.argsort(-sizes, kind="stable")
-        starts, sizes = starts[order], sizes[order]
-        w, total = len(starts), int(sizes.sum())
-        base = np.cumsum(sizes) - sizes
-        at = np.arange(total) - np.repeat(base, sizes)
-        code = codes[np.repeat(starts, sizes) + at].astype(np.uint64) + np.uint64(1)
-        room = np.repeat(sizes, sizes) - at  # characters from here to the segment's end
-        # pieces that begin at each character, by length
+    # all segments of a piece of text
+
+    def _pieces_at(self, codes: np.ndarray, begin: np.ndarray, width: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """[n, character]: the piece of n characters that begins at each character of the lanes' stretches, or none."""
+        total = int(width.sum())
+        at = np.arange(total) - np.repeat(base, width)
+        code = codes[np.repeat(begin, width) + at].astype(np.uint64) + np.uint64(1)
+        room = np.repeat(width, width) - at  # characters from here to the stretch's end
         found = np.full((self.longest + 1, total), _NONE, np.int32)
         live, h = np.arange(total), np.zeros(total, np.uint64)
         for n in range(1, self.longest + 1):
@@ -286,61 +233,107 @@ class Vocabulary:
             hit = piece >= 0
             found[n, live[hit]] = piece[hit]
             if n == 1:
-                alone = piece == _NONE
-                found[1, live[alone]] = self.unknown
+                found[1, live[piece == _NONE]] = self.unknown
             go = (piece != _NONE) & (room[live] > n)
             live, h = live[go], h[go]
             if not len(live):
                 break
-        piece_at = np.full(total + w, _NONE, np.int32)  # of the boundary after each character; w more for the starts
-        score_at = np.zeros(total + w)
-        mark = base + np.arange(w)  # boundary 0 of each segment
-        for i in range(1, int(sizes[0]) + 1 if w else 1):
-            k = int(np.searchsorted(-sizes, -i, "right"))
-            best = np.full(k, -np.inf)
-            open_ = np.arange(k)
-            for n in range(1, min(i, self.longest) + 1):
-                piece = found[n, base[open_] + i - n]
-                own = piece >= 0
-                rows, piece = open_[own], piece[own].astype(np.int64)
-                if self.bpe:
-                    before = piece_at[mark[rows] + i - n]
-                    ok = np.ones(len(rows), dtype=bool)
-                    if i > n:
-                        ok = self._joint(before.astype(np.int64), piece)
-                    rows, piece = rows[ok], piece[ok]
-                    piece_at[mark[rows] + i] = piece
-                    done = np.zeros(k, dtype=bool)
-                    done[rows] = True
-                    open_ = open_[~done[open_]]
-                    if not len(open_):
-                        break
-                else:
-                    score = score_at[mark[rows] + i - n] + self.scores[piece]
-                    up = score >= best[rows]
-                    rows = rows[up]
-                    best[rows], piece_at[mark[rows] + i] = score[up], piece[up]
-            if not self.bpe:
-                score_at[mark[:k] + i] = best
-        # back along the paths
-        counts, rows, pos, out_row, out_pos, out_piece = np.zeros(w, np.int64), np.arange(w), sizes.copy(), [], [], []
-        while len(rows):
+        return found
+
+    def _stretch(self, codes: np.ndarray, begin: np.ndarray, width: np.ndarray, before: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(pieces, lane of each, how many characters each lane commits, its last piece), for lanes by descending width.
+
+        A lane's stretch has ``width`` characters from ``begin`` on, and ``before`` is the piece that its path so
+        far ends with. Where the stretch ``ends`` its segment all of it is committed; else what the paths to the
+        last ``longest`` boundaries have in common.
+        """
+        w, base = len(begin), np.cumsum(width) - width
+        found = self._pieces_at(codes, begin, width, base)
+        mark = base + np.arange(w)  # boundary 0 of each lane
+        piece_at = np.full(len(found[0]) + w, _DEAD, np.int32)  # the last piece of the path to each boundary
+        score_at = np.zeros(len(piece_at))
+        piece_at[mark] = before
+        for i in range(1, int(width[0]) + 1):
+            k = int(np.searchsorted(-width, -i, "right"))
+            n, lane = np.nonzero(found[1 : min(i, self.longest) + 1][::-1][_diagonal(base[:k], i, min(i, self.longest))] >= 0)
+            n = min(i, self.longest) - n  # the longest first
+            piece = found[n, base[lane] + i - n]
+            prev = piece_at[mark[lane] + i - n]
+            ok = prev != _DEAD
+            if self.bpe:
+                test = np.flatnonzero(prev >= 0)
+                ok[test] = self._joint(prev[test].astype(np.int64), piece[test].astype(np.int64))
+                piece_at[mark[lane[ok]] + i] = piece[ok]
+            else:
+                n, lane, piece = n[ok], lane[ok], piece[ok]
+                score = score_at[mark[lane] + i - n] + self.scores[piece]
+                order = np.lexsort((-n, -score, lane))
+                first = order[np.flatnonzero(np.diff(lane[order], prepend=-1))]
+                piece_at[mark[lane[first]] + i], score_at[mark[lane[first]] + i] = piece[first], score[first]
+        meet = self._meet(piece_at, mark, width, ends)
+        out, owner, at = [], [], []
+        last = np.where(meet > 0, piece_at[mark + meet], before)
+        rows, pos = np.flatnonzero(meet > 0), meet[meet > 0]
+        while len(rows):  # back along the paths
             piece = piece_at[mark[rows] + pos]
-            out_row.append(rows)
-            out_pos.append(pos.copy())
-            out_piece.append(piece)
-            counts[rows] += 1
+            out.append(piece)
+            owner.append(rows)
+            at.append(pos)
             pos = pos - self.length[piece]
-            go = pos > 0
-            rows, pos = rows[go], pos[go]
-        if not w:
-            return np.zeros(0, np.int64), counts
-        row, pos, piece = np.concatenate(out_row), np.concatenate(out_pos), np.concatenate(out_piece)
-        row = order[row]
-        by = np.lexsort((pos, row))
-        real = np.zeros(w, np.int64)
-        real[order] = counts
-        return piece[by].astype(np.int64), real
+            rows, pos = rows[pos > 0], pos[pos > 0]
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), meet, last
+        out, owner, at = np.concatenate(out), np.concatenate(owner), np.concatenate(at)
+        order = np.lexsort((at, owner))
+        return out[order].astype(np.int64), owner[order], meet, last
+
+    def _meet(self, piece_at: np.ndarray, mark: np.ndarray, width: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The boundary of each lane at which the paths to its last boundaries meet."""
+        meet = np.where(ends, width, 0)
+        rows = np.flatnonzero(~ends)
+        if len(rows):
+            back = np.arange(self.longest)
+            alive = width[rows, None] - back  # boundaries, the last first; 0 for those that no path reaches
+            alive = np.where(alive > 0, alive, 0)
+            alive = np.where(piece_at[mark[rows, None] + alive] == _DEAD, width[rows, None], alive)
+            while True:
+                top, low = alive.max(1), alive.min(1)
+                open_ = top > low
+                if not open_.any():
+                    break
+                step = (alive == top[:, None]) & open_[:, None]
+                at = np.broadcast_to(mark[rows, None], alive.shape)[step] + alive[step]
+                alive[step] -= self.length[piece_at[at]]
+            meet[rows] = alive[:, 0]
+        return meet
+
+    def _lanes(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, before: np.ndarray, closed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(pieces of all segments, how many of each, characters committed of each, its last piece).
+
+        A segment that isn't ``closed`` goes on after its last character; it commits what doesn't depend on that.
+        """
+        done, last = np.zeros(len(starts), np.int64), before.copy()
+        count, out, owner = np.zeros(len(starts), np.int64), [], []
+        stretch = np.full(len(starts), STRETCH)
+        todo = np.flatnonzero(sizes > 0)
+        while len(todo):
+            width = np.minimum(sizes[todo] - done[todo], stretch[todo])
+            order = np.argsort(-width, kind="stable")
+            todo, width = todo[order], width[order]
+            whole = done[todo] + width == sizes[todo]
+            pieces, lane, moved, ends = self._stretch(codes, starts[todo] + done[todo], width, last[todo], whole & closed[todo])
+            out.append(pieces)
+            owner.append(todo[lane])
+            count += np.bincount(todo[lane], minlength=len(starts))
+            done[todo] += moved
+            last[todo] = ends
+            # paths that don't meet yet: a longer stretch
+            stretch[todo] = np.where(moved == 0, 2 * stretch[todo], STRETCH)
+            todo = todo[(done[todo] < sizes[todo]) & ~(whole & ~closed[todo])]
+        if not out:
+            return np.zeros(0, np.int64), count, done, last
+        owner = np.concatenate(owner)
+        return np.concatenate(out)[np.argsort(owner, kind="stable")], count, done, last
 
     def _joint(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """``joints`` behind a direct-mapped cache."""
@@ -371,33 +364,55 @@ class Vocabulary:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of the texts in them)."""
-        ready = [(MARK if self.prefix else "") + t.replace(" ", MARK) if t else "" for t in texts]
+        out, ends, offsets = [], 0, [0]
+        for i, j in _batches(texts):
+            if len(texts[i]) > PIECE_CHARS:
+                for ids in self._long(texts[i]):
+                    out.append(ids)
+                    ends += len(ids)
+                offsets.append(ends)
+                continue
+            ids, bounds, _ = self._some([(MARK if self.prefix else "") + t.replace(" ", MARK) if t else "" for t in texts[i:j]])
+            out.append(ids)
+            offsets += (bounds[1:] + ends).tolist()
+            ends += len(ids)
+        return np.concatenate(out) if out else np.zeros(0, np.int32), np.array(offsets, np.int64)
+
+    def _long(self, text: str) -> Iterator[np.ndarray]:
+        """Ids of one text, a piece at a time; only the characters since the last commit go on to the next."""
+        rest, before = MARK if self.prefix else "", _NONE
+        for k in range(0, len(text), PIECE_CHARS):
+            rest += text[k : k + PIECE_CHARS].replace(" ", MARK)
+            ids, _, (left, before) = self._some([rest], before, k + PIECE_CHARS < len(text))
+            rest = rest[len(rest) - left :]
+            yield ids
+
+    def _some(self, ready: list[str], before: int = _NONE, goes_on: bool = False) -> tuple[np.ndarray, np.ndarray, tuple[int, int]]:
+        """(ids, offsets of the texts in them, (characters at the end that aren't committed, the piece before them)).
+
+        ``before`` is the piece before the first character, and with ``goes_on`` the last text does.
+        """
         codes = np.frombuffer("".join(ready).encode("utf-32-le", "surrogatepass"), np.uint32)
-        size = np.fromiter(map(len, ready), np.int64, len(ready))
-        offsets = np.concatenate([[0], np.cumsum(size)])
+        offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ready), np.int64, len(ready)))])
         starts = self._segments(codes, offsets)
-        sizes = np.diff(np.append(starts, len(codes)))
         if not len(starts):
-            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        # equal segments once: those whose characters hash alike in 64 bits
+            return np.zeros(0, np.int32), np.zeros(len(ready) + 1, np.int64), (0, before)
+        sizes = np.diff(np.append(starts, len(codes)))
+        # equal segments once: those whose characters hash alike in 64 bits; never one that is cut
         powers = self.powers_to(int(sizes.max()))
         within = np.arange(len(codes)) - np.repeat(starts, sizes)
         h = mix64(np.add.reduceat((codes.astype(np.uint64) + np.uint64(1)) * powers[within], starts) + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        _, one, which = np.unique(h, return_index=True, return_inverse=True)
-        short = sizes[one] <= SIDE_BY_SIDE
-        piece, count = np.zeros(0, np.int64), np.zeros(len(one), np.int64)
-        piece, count[short] = self._side_by_side(codes, starts[one[short]], sizes[one[short]])
-        chars = [piece]
-        for k in np.flatnonzero(~short):
-            s = int(starts[one[k]])
-            text = codes[s : s + int(sizes[one[k]])].tobytes().decode("utf-32-le", "surrogatepass")
-            path = np.fromiter(self.encode_stream(text, self._long_cache()), np.int64)
-            chars.append(path)
-            count[k] = len(path)
-        order = np.concatenate([np.flatnonzero(short), np.flatnonzero(~short)])
-        pieces_ = np.concatenate(chars)
-        first = np.empty(len(one), np.int64)
-        first[order] = np.cumsum(count[order]) - count[order]
+        del within, powers
+        cut = np.zeros(len(starts), np.int64)
+        cut[0] += before != _NONE
+        cut[-1] += 2 * goes_on
+        key = np.empty(len(h), dtype=[("h", np.uint64), ("cut", np.int64)]) if cut.any() else h
+        if cut.any():
+            key["h"], key["cut"] = h, cut
+        _, one, which = np.unique(key, return_index=True, return_inverse=True)
+        first_piece = np.where(cut[one] & 1, before, _NONE)
+        pieces_, count, done, last = self._lanes(codes, starts[one], sizes[one], first_piece, cut[one] < 2)
+        first = np.cumsum(count) - count
         # of all segments, in order
         n = count[which]
         seq = pieces_[np.repeat(first[which] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
@@ -407,7 +422,7 @@ class Vocabulary:
         raw = codes[at[~plain]]
         width[~plain] = 1 + (raw >= 0x80) + (raw >= 0x800) + (raw >= 0x10000) if self.byte_fallback else 1
         ends = np.cumsum(width)
-        out = np.empty(int(ends[-1]), np.int32)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
         out[(ends - width)[plain]] = seq[plain]
         if not plain.all():
             if self.byte_fallback:
@@ -416,39 +431,47 @@ class Vocabulary:
                 out[np.repeat((ends - width)[~plain] - (np.cumsum(w) - w), w) + np.arange(int(w.sum()))] = self.byte_ids[unknown]
             else:
                 out[(ends - width)[~plain]] = self.unk
-        bounds = np.searchsorted(at, offsets)
-        return out, np.concatenate([[0], ends])[bounds]
+        left = int(sizes[-1] - done[which[-1]])
+        return out, np.concatenate([[0], ends])[np.searchsorted(at, offsets)], (left, int(last[which[-1]]))
 
     def powers_to(self, n: int) -> np.ndarray:
         return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 1) - 1, _BASE, np.uint64)]))
 
-    def _long_cache(self) -> dict:
-        if not hasattr(self, "_cache_long") or len(self._cache_long) > 200_000:
-            self._cache_long = {}
-        return self._cache_long
-
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
         """The texts of ids; bytes that are no UTF-8 become U+FFFD."""
         if not hasattr(self, "_flat"):
             size = np.fromiter(map(len, self.bytes_of), np.int64, self.n)
             self._flat = (np.frombuffer(b"".join(self.bytes_of), np.uint8), np.cumsum(size) - size, size)
         data, first, size = self._flat
-        n = size[ids]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        raw = data[np.repeat(first[ids] - ends[:-1], n) + np.arange(int(ends[-1]))].tobytes()
+        raw, ends = [], np.zeros(len(offsets), np.int64)
+        for k in range(0, len(ids), PIECE_CHARS):
+            part = ids[k : k + PIECE_CHARS]
+            n = size[part]
+            at = np.concatenate([[0], np.cumsum(n)])
+            inside = (offsets > k) & (offsets <= k + len(part))
+            done = sum(map(len, raw))
+            ends[inside] = done + at[offsets[inside] - k]
+            raw.append(data[np.repeat(first[part] - at[:-1], n) + np.arange(int(at[-1]))].tobytes())
+        ends, joined = np.maximum.accumulate(ends), b"".join(raw)
         out = []
-        for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-            a, b = int(ends[i]), int(ends[j])
+        for i, j, a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), ends[:-1].tolist(), ends[1:].tolist()):
             if j > i and self.prefix and self.starts_marked[ids[i]]:
                 a += 1  # the space put before every text
-            out.append(raw[a:b].decode("utf-8", "replace"))
+            out.append(joined[a:b].decode("utf-8", "replace"))
         return out
 
 
-def _batches(texts: list[str], most: int = PIECE_CHARS) -> Iterator[tuple[int, int]]:
+def _diagonal(base: np.ndarray, i: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pieces lie that end at boundary i of each lane, the longest first."""
+    n = np.arange(longest, 0, -1)
+    return np.arange(longest)[:, None], base[None, :] + i - n[:, None]
+
+
+def _batches(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of ``PIECE_CHARS`` characters at most; a longer text is alone."""
     i = size = 0
     for j, t in enumerate(texts):
-        if size and size + len(t) > most:
+        if j > i and size + len(t) > PIECE_CHARS:
             yield i, j
             i, size = j, 0
         size += len(t)
@@ -461,7 +484,12 @@ def _with(df: DataFrame, column: str, kind: T.DataType) -> T.StructType:
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, column: str = "ids") -> DataFrame:
-    """``docs`` with the ids of each whole text; null for a null text, no ids for an empty one. All columns stay."""
+    """``docs`` with the ids of each whole text; null for a null text, no ids for an empty one.
+
+    A column of that name that ``docs`` has is replaced, all others stay. Repeated rows and ids do no harm; no
+    rows give no rows.
+    """
+    docs = docs.drop(column)
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -479,7 +507,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, column: str = "ids") -> Data
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", column: str = "text") -> DataFrame:
-    """``encoded`` with the text of each list of ids; null for null."""
+    """``encoded`` with the text of each list of ids; null for null. A column of that name is replaced."""
+    encoded = encoded.drop(column)
     sent = encoded.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
