@@ -10,7 +10,8 @@ from tests.llm.test_simhash import brute_components, brute_fp  # noqa: E402
 from webloom.llm.textvec import utf8  # noqa: E402
 
 
-def test_stages_against_brute_force(spark, sf):
+def test_stages_against_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns = docs.columns
     out = docs

@@ -52,7 +52,7 @@ def test_held_out_accuracy(spark):
     held = [d for d in truth if got[d].held_out]
     toxic, clean = [d for d in held if truth[d]], [d for d in held if not truth[d]]
     # 9 of these 144 toxic texts hold no word or stem that is found more often in toxic texts than in clean ones
-    assert np.mean([got[d].predicted for d in toxic]) >= 0.875 and np.mean([got[d].predicted for d in clean]) <= 0.01
+    assert np.mean([got[d].predicted for d in toxic]) >= 0.89 and np.mean([got[d].predicted for d in clean]) <= 0.01
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got.values())
 
 
@@ -75,19 +75,30 @@ def test_slopes_against_differences():
         assert abs((loss(up) - loss(down)) / 2e-6 - slope) < 1e-6
 
 
-def test_fit_reaches_the_optimum_of_two_words():
-    # "bad" in half of the toxic texts alone, "good" everywhere: the loss of the fit is near the best of a grid
-    texts = ["good day"] * 60 + ["good bad day"] * 30 + ["good day"] * 10
-    labels = np.array([0] * 60 + [1] * 40)
+def test_fit_reaches_the_optimum():
+    # "bad" in 30 of 40 toxic texts and 10 of 160 clean ones, twice in one sentence or in two: one weight, one bias
+    texts = ["good day"] * 150 + ["a bad day"] * 10 + ["bad, so bad"] * 15 + ["bad. so bad"] * 15 + ["good day"] * 10
+    labels = np.array([0] * 160 + [1] * 40)
     model = toxicity.fit(texts, labels, l1=0.0, weight=1.0, steps=6000)
-    data, offsets = utf8(pa.array(["good day", "good bad day"]))
-    plain, bad = model.documents(data, offsets)
+    data, offsets = utf8(pa.array(["good day", "a bad day", "bad, so bad", "bad. so bad"]))
+    plain, one, both, two = model.documents(data, offsets)
 
-    def loss(a, b):
-        return -(0.5 * math.log(1 - a) + 0.5 * (0.75 * math.log(b) + 0.25 * math.log(a)))
+    def loss(one, both, two):
+        return -(10 / 160 * math.log(1 - one) + 15 / 40 * math.log(both) + 15 / 40 * math.log(two))
 
-    best = min(loss(a / 200, b / 200) for a in range(1, 200) for b in range(1, 200))
-    assert loss(plain, bad) <= best + 0.02 and bad > 0.95, (plain, bad)
+    def grid():
+        for b in range(-60, 1):
+            for w in range(0, 60):
+                p, q = (1 / (1 + math.exp(-z / 4)) for z in (b + w, b + 2 * w))
+                yield loss(p, q, 1 - (1 - p) ** 2)
+
+    assert plain == 0 and loss(one, both, two) <= min(grid()) + 0.02, (plain, one, both, two)
+
+
+def test_no_length_adds_up():
+    model = toxicity.fit([r[1] for r in rows_of()], np.array([r[2] for r in rows_of()]))
+    data, offsets = utf8(pa.array(["A nice day. " * 100_000]))
+    assert model.documents(data, offsets)[0] < 0.01
 
 
 def test_hash_sample(spark):

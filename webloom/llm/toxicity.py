@@ -2,7 +2,7 @@
 
 Only documents carry labels, but it is a sentence that offends. A sentence's probability is logistic in
 its hashed words and their first letters (so inflected forms of a stem count as one); a document's is the
-noisy-or of its sentences, 1 - prod(1 - p): it is toxic if any sentence is. Training the document's likelihood therefore hands each label to the sentences that
+noisy-or of its sentences, 1 - prod(1 - p): it is toxic if any sentence is. A sentence without a telling word counts as 0. Training the document's likelihood therefore hands each label to the sentences that
 explain it, and afterwards the same sentence scores say where a document offends.
 
 The model is fitted on a bounded sample of labelled rows: about ``TRAIN_ROWS`` of each label, those with the
@@ -86,8 +86,9 @@ class Model:
     def sentences(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(probability, text, first byte, end) of each sentence."""
         feature, at, text, first, end = features(data, offsets, self.bits)
-        z = self.bias + np.bincount(at, self.weights[feature], len(text))
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30))), text, first, end
+        told = np.bincount(at, self.weights[feature], len(text))
+        # a sentence without a telling word counts as 0, so that no length of text adds up to toxicity
+        return np.where(told > 0, 1 / (1 + np.exp(-np.clip(self.bias + told, -30, 30))), 0.0), text, first, end
 
     def documents(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         p, text, *_ = self.sentences(data, offsets)
@@ -133,9 +134,10 @@ def fit(texts: pa.Array | list[str], labels: np.ndarray, bits: int = FEATURE_BIT
     for i, j, part, begins in pieces(data, offsets):
         feature, at, text, *_ = features(part, begins, bits)
         keep = common[feature]
-        parts.append((feature[keep], at[keep] + counted))
-        owners.append(text + i)
-        counted += len(text)
+        some, own = np.unique(at[keep], return_inverse=True)  # other sentences can't offend
+        parts.append((feature[keep], own + counted))
+        owners.append(text[some] + i)
+        counted += len(some)
     text = np.concatenate(owners)
     feature, at = (np.concatenate(x) for x in zip(*parts))
     order = np.argsort(at, kind="stable")
