@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from webloom.llm import substrings
+from webloom.llm import substrings, textvec
 
 
 def brute(rows, window=13):
@@ -64,5 +64,41 @@ def test_against_brute_force(spark):
         assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute(rows))), settings
 
 
+def test_two_hops_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "FAN", 3)
+    ups = []
+    up = substrings._up
+    monkeypatch.setattr(substrings, "_up", lambda shape, kind: ups.append((kind, shape.slice_bits, shape.route_bits)) or up(shape, kind))
+    rows = rows_of(4)
+    df = spark.createDataFrame(rows, "doc_id long, text string, part int").repartition(3)
+    for settings in ({"part_bytes": 4096, "slice_windows": 2048, "routes": 4}, {"columns": 0, "part_bytes": 8192, "slice_windows": 1024, "routes": 1}):
+        got = substrings.without_repeats(df, **settings).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute(rows))), settings
+    assert [(k, r) for k, _, r in ups] == [(1, 2), (2, 2), (1, 0), (2, 0)] and all(s > r for _, s, r in ups)
+
+
+def test_words_whose_polynomials_collide_stay_apart():
+    bits = [bin(i).count("1") & 1 for i in range(1 << 12)]  # Thue and Morse: equal sums under any odd base modulo 2^64
+    a, b = ("".join("ab"[x ^ flip] for x in bits) for flip in (0, 1))
+    data = np.frombuffer((a + b).encode(), np.uint8)
+    starts, ends = np.array([0, len(a)]), np.array([len(a), 2 * len(a)])
+    assert len(set(textvec.word_hashes(data, starts, ends).tolist())) == 1
+    assert len(set(textvec.word_marks(data, starts, ends).tolist())) == 2
+    _, h2, _, _, _ = substrings.window_hashes(np.frombuffer((a + " x " + b + " x").encode(), np.uint8), np.array([0, 2 * len(a) + 5]), 2)
+    assert h2[0] != h2[2]
+
+
+def test_repeats_of_one_row_are_dealt_apart(spark):
+    df = spark.createDataFrame([(1, "a b c " * 10)], "doc_id long, text string").crossJoin(spark.range(400)).repartition(8).drop("id")
+    seen = []
+    real = substrings.written
+    try:
+        substrings.written = lambda table, *a, **b: seen.append(real(table, *a, **b)) or seen[-1]
+        got = substrings.without_repeats(df, part_bytes=2000).collect()
+    finally:
+        substrings.written = real
+    assert len(got) == 400 and {r.n_removed for r in got} == {0} and seen[0].select("part").distinct().count() > 3
+
+
 def test_no_rows(spark):
     assert substrings.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -4,8 +4,7 @@ A window is ``WINDOW`` consecutive words. Most windows occur once, so a count-mi
 exact keys are exchanged only for windows that it estimates to be repeated; as it never underestimates, none
 is lost.
 
-Documents are dealt into parts by hash, packed and compressed, once; the three passes below read that one
-exchange. Windows are dealt into slices by the leading bits of their hash, and every slice has its own cut of
+Documents are dealt into parts by hash, packed, compressed and written, once; the three passes below read that. Windows are dealt into slices by the leading bits of their hash, and every slice has its own cut of
 the sketch, so that no sketch grows with the corpus:
 
 1. Each part fills a partition sketch of two rows and sends each slice its cells (with one bit for "more
@@ -18,6 +17,10 @@ the sketch, so that no sketch grows with the corpus:
 
 A window that a third of all documents share is one cell and one key a part; nothing is ever grouped by it
 but those.
+
+Parts and slices both grow with the corpus. So that no part sends more than ``ROUTES`` messages, beyond that
+many slices the exchange has two hops: a part sends to groups of slices; there the cells (keys) of ``FAN`` parts
+are merged into those of one super-part, which go on to the slices, and the answers come back the same way.
 """
 
 from __future__ import annotations
@@ -30,11 +33,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from webloom.llm.textvec import mix64, pieces, utf8, word_hashes, words
-from webloom.workspace import partitions
+from webloom.llm.textvec import mix64, pieces, utf8, word_hashes, word_marks, words
+from webloom.workspace import partitions, written
 
 #: Words of a window; bytes of text in a part and windows in a slice, at most; sketch columns for a window.
 WINDOW, PART_BYTES, SLICE_WINDOWS, COLUMNS = 13, 16 << 20, 8 << 20, 4
+#: Messages of a part at most; parts whose messages to one group of slices are merged.
+ROUTES, FAN = 1024, 256
 #: A null id counts as larger than any other.
 NULL_ID = (1 << 63) - 1
 
@@ -85,18 +90,30 @@ def unpack_any(data: bytes, dtype) -> np.ndarray:
 
 
 class Shape:
-    """How windows are dealt: 2**slice_bits slices, each with two sketch rows of 2**cell_bits columns."""
+    """How windows are dealt: 2**slice_bits slices, each with two sketch rows of 2**cell_bits columns.
 
-    def __init__(self, slice_bits: int, cell_bits: int, window: int):
-        self.slice_bits, self.cell_bits, self.window = slice_bits, cell_bits, window
+    A part addresses them in 2**route_bits groups, which are the slices themselves unless those are too many.
+    """
 
-    def slice_of(self, h: np.ndarray) -> np.ndarray:
-        return h >> np.uint64(64 - self.slice_bits) if self.slice_bits else np.zeros(len(h), np.uint64)
+    def __init__(self, slice_bits: int, cell_bits: int, window: int, route_bits: int):
+        self.slice_bits, self.cell_bits, self.window, self.route_bits = slice_bits, cell_bits, window, route_bits
+        #: Bits of a column within a group of slices, and of a slice within its group.
+        self.rest_bits, self.inner_bits = slice_bits - route_bits + cell_bits, slice_bits - route_bits
 
     def columns(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Columns of the windows in both rows, with the slice in front."""
         low = np.uint64((1 << self.cell_bits) - 1)
-        return h >> np.uint64(64 - self.slice_bits - self.cell_bits), (self.slice_of(h) << np.uint64(self.cell_bits)) | (h & low)
+        return h >> np.uint64(64 - self.slice_bits - self.cell_bits), (_top(h, self.slice_bits) << np.uint64(self.cell_bits)) | (h & low)
+
+
+def _top(h: np.ndarray, bits: int) -> np.ndarray:
+    """The leading bits."""
+    return h >> np.uint64(64 - bits) if bits else np.zeros(len(h), np.uint64)
+
+
+def _cuts(groups: np.ndarray, bits: int) -> np.ndarray:
+    """Where each of 2**bits groups begins among ascending group numbers, and the end."""
+    return np.searchsorted(groups, np.arange((1 << bits) + 1, dtype=np.uint64))
 
 
 def window_hashes(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -108,7 +125,7 @@ def window_hashes(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[n
         n = len(starts) - window + 1
         if n > 0:
             w = word_hashes(part, starts, ends)
-            v = mix64(w + _B2)
+            v = word_marks(part, starts, ends)
             a, b = w[:n], v[:n]
             for k in range(1, window):
                 a = a * _B1 + w[k : n + k]
@@ -198,7 +215,7 @@ class Part:
         maybe = np.ones(len(self.h1), dtype=bool)
         for k, (order, run, column) in enumerate(self.rows()):
             hot = np.zeros(len(column), dtype=bool)
-            cut = np.searchsorted(column >> np.uint64(self.shape.cell_bits), np.arange((1 << self.shape.slice_bits) + 1))
+            cut = _cuts(column >> np.uint64(self.shape.rest_bits), self.shape.route_bits)
             for s, m in masks.items():
                 hot[cut[s] : cut[s + 1]] = np.unpackbits(np.frombuffer(m[k], np.uint8), count=cut[s + 1] - cut[s])
             flags = np.zeros(len(maybe), dtype=bool)
@@ -236,8 +253,8 @@ def _sketch(shape: Shape):
         both = []
         for _, run_, column in p.rows():
             more = np.bincount(run_, minlength=len(column)) > 1
-            cut = np.searchsorted(column >> np.uint64(shape.cell_bits), np.arange((1 << shape.slice_bits) + 1))
-            cells = (column & np.uint64((1 << shape.cell_bits) - 1)) << np.uint64(1) | more.astype(np.uint64)
+            cut = _cuts(column >> np.uint64(shape.rest_bits), shape.route_bits)
+            cells = (column & np.uint64((1 << shape.rest_bits) - 1)) << np.uint64(1) | more.astype(np.uint64)
             both.append([pack(cells[i:j]) for i, j in zip(cut[:-1], cut[1:])])
         return _table(p.part, SKETCH, [(s, a, b, None) for s, (a, b) in enumerate(zip(*both)) if a])
 
@@ -274,29 +291,115 @@ def _keys(shape: Shape):
             return _table(p.part, KEYS, [])
         order, _, first, least = p.keys(p.estimated(_answers(answers, SKETCH)))
         h1, h2 = p.h1[order[first]], p.h2[order[first]]
-        cut = np.searchsorted(shape.slice_of(h1), np.arange((1 << shape.slice_bits) + 1))
+        cut = _cuts(_top(h1, shape.route_bits), shape.route_bits)
         rows = [(s, pack(h1[i:j]), pack_any(h2[i:j]), pack_any(least[i:j])) for s, (i, j) in enumerate(zip(cut[:-1], cut[1:])) if j > i]
         return _table(p.part, KEYS, rows)
 
     return run
 
 
-def _merge_keys(table: pa.Table) -> pa.Table:
+def _unpacked_keys(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(h1 of each row of a table of keys; of all: order by key, run of equal keys in it, h1, h2 and document in it; each run's least document)."""
     h1 = [unpack(x.as_py()) for x in table["a"]]
-    size = list(map(len, h1))
-    h1, h2, doc = np.concatenate(h1), np.concatenate([unpack_any(x.as_py(), np.uint32) for x in table["b"]]), np.concatenate([unpack_any(x.as_py(), np.int64) for x in table["c"]])
-    order = np.lexsort((h2, h1))
-    a, b = h1[order], h2[order]
+    both, doc = np.concatenate([unpack_any(x.as_py(), np.uint32) for x in table["b"]]), np.concatenate([unpack_any(x.as_py(), np.int64) for x in table["c"]])
+    all1 = np.concatenate(h1)
+    order = np.lexsort((both, all1))
+    a, b, d = all1[order], both[order], doc[order]
     new = np.ones(len(order), dtype=bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    least = np.minimum.reduceat(doc[order], np.flatnonzero(new))
+    return h1, order, np.cumsum(new) - 1, a, b, d, np.minimum.reduceat(d, np.flatnonzero(new))
+
+
+def _parted(bits: np.ndarray, sizes: list[int]) -> list[bytes]:
+    """One bit an entry, packed for each of the rows that the entries came in."""
+    ends = np.cumsum(sizes)
+    return [np.packbits(bits[e - n : e]).tobytes() for n, e in zip(sizes, ends)]
+
+
+def _merge_keys(table: pa.Table) -> pa.Table:
+    h1, order, run_, _, _, doc, least = _unpacked_keys(table)
     later = np.zeros(len(order), dtype=bool)
-    later[order] = doc[order] > least[np.cumsum(new) - 1]
-    own, ends = table["slice"][0].as_py(), np.cumsum(size)
-    rows = [(own, np.packbits(later[e - n : e]).tobytes(), None, None) for n, e in zip(size, ends)]
+    later[order] = doc > least[run_]
+    own = table["slice"][0].as_py()
+    rows = [(own, m, None, None) for m in _parted(later, list(map(len, h1)))]
     return _table(0, KEYS, rows).set_column(0, "part", table["part"].cast(pa.int32()))
 
 
+# the two hops: messages of FAN parts to one group of slices become those of a super-part
+
+
+def _merged_cells(table: pa.Table, name: str) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(columns of each row; all distinct columns, with whether they are met more than once)."""
+    cells = [unpack(x.as_py()) for x in table[name]]
+    joined = np.concatenate(cells)
+    columns, at = np.unique(joined >> np.uint64(1), return_inverse=True)
+    count = np.bincount(at, 1 + (joined & np.uint64(1)).astype(np.int64), len(columns))
+    return [c >> np.uint64(1) for c in cells], columns, count > 1
+
+
+def _up(shape: Shape, kind: int):
+    def run(table: pa.Table) -> pa.Table:
+        group, top = table["slice"][0].as_py() << shape.inner_bits, table["part"][0].as_py() // FAN
+        if kind == SKETCH:
+            both = []
+            for name in ("a", "b"):
+                _, columns, more = _merged_cells(table, name)
+                cut = _cuts(columns >> np.uint64(shape.cell_bits), shape.inner_bits)
+                cells = (columns & np.uint64((1 << shape.cell_bits) - 1)) << np.uint64(1) | more.astype(np.uint64)
+                both.append([pack(cells[i:j]) for i, j in zip(cut[:-1], cut[1:])])
+            return _table(top, kind, [(group + s, a, b, None) for s, (a, b) in enumerate(zip(*both)) if a])
+        _, _, run_, h1, h2, _, least = _unpacked_keys(table)
+        first = np.flatnonzero(np.diff(run_, prepend=-1))
+        h1, h2 = h1[first], h2[first]
+        cut = _cuts(_top(h1, shape.slice_bits) - np.uint64(group), shape.inner_bits)
+        return _table(top, kind, [(group + s, pack(h1[i:j]), pack_any(h2[i:j]), pack_any(least[i:j])) for s, (i, j) in enumerate(zip(cut[:-1], cut[1:])) if j > i])
+
+    return run
+
+
+def _down(shape: Shape, kind: int):
+    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _table(0, kind, [])
+        group, found, masks = table["slice"][0].as_py(), _answers(answers, kind), []
+
+        def whole(slices: np.ndarray, k: int) -> np.ndarray:
+            """The answers to a super-part's entries, given in order of their slices."""
+            out, cut = np.zeros(len(slices), dtype=bool), _cuts(slices, shape.inner_bits)
+            for s, m in found.items():
+                i, j = cut[s - (group << shape.inner_bits)], cut[s + 1 - (group << shape.inner_bits)]
+                out[i:j] = np.unpackbits(np.frombuffer(m[k], np.uint8), count=j - i)
+            return out
+
+        if kind == SKETCH:
+            for k, name in enumerate(("a", "b")):
+                cells, columns, _ = _merged_cells(table, name)
+                hot = whole(columns >> np.uint64(shape.cell_bits), k)
+                masks.append([np.packbits(hot[np.searchsorted(columns, c)]).tobytes() for c in cells])
+            rows = [(group, a, b, None) for a, b in zip(*masks)]
+        else:
+            h1, order, run_, a, _, doc, least = _unpacked_keys(table)
+            first = np.flatnonzero(np.diff(run_, prepend=-1))
+            slices = _top(a[first], shape.slice_bits) - np.uint64(group << shape.inner_bits)
+            later = np.zeros(len(order), dtype=bool)
+            later[order] = whole(slices, 0)[run_] | (doc > least[run_])
+            rows = [(group, m, None, None) for m in _parted(later, list(map(len, h1)))]
+        return _table(0, kind, rows).set_column(0, "part", table["part"].cast(pa.int32()))
+
+    return run
+
+
+def _asked(messages: DataFrame, shape: Shape, kind: int) -> DataFrame:
+    """The slices' answers to the parts' messages."""
+    merge = _merge_sketches(shape) if kind == SKETCH else _merge_keys
+    if shape.route_bits == shape.slice_bits:
+        return messages.groupBy("slice").applyInArrow(merge, _ROWS)
+    top = F.floor(F.col("part") / FAN).cast("int")
+    answers = messages.groupBy("slice", top.alias("top")).applyInArrow(_up(shape, kind), _ROWS).groupBy("slice").applyInArrow(merge, _ROWS)
+    of_group = answers.groupBy(F.shiftright("slice", shape.inner_bits).alias("slice"), F.col("part").alias("top"))
+    return messages.groupBy("slice", top.alias("top")).cogroup(of_group).applyInArrow(_down(shape, kind), _ROWS)
+
+
 _RESULT = "doc_id long, n_words long, n_removed long, kept string, kept_sha256 string"
 
 
@@ -307,7 +410,7 @@ def _cut(shape: Shape, texts: bool):
         if len(p.h1):
             order, run_, first, least = p.keys(p.estimated(_answers(answers, SKETCH)))
             later, found = np.zeros(len(first), dtype=bool), _answers(answers, KEYS)
-            cut = np.searchsorted(shape.slice_of(p.h1[order[first]]), np.arange((1 << shape.slice_bits) + 1))
+            cut = _cuts(_top(p.h1[order[first]], shape.route_bits), shape.route_bits)
             for s, (m, _) in found.items():
                 later[cut[s] : cut[s + 1]] = np.unpackbits(np.frombuffer(m, np.uint8), count=cut[s + 1] - cut[s])
             gone = order[later[run_] | (p.doc[order] > least[run_])] if len(first) else order
@@ -330,26 +433,27 @@ def _cut(shape: Shape, texts: bool):
     return run
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True, part_bytes: int = PART_BYTES, slice_windows: int = SLICE_WINDOWS, columns: int = COLUMNS) -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True, part_bytes: int = PART_BYTES, slice_windows: int = SLICE_WINDOWS, columns: int = COLUMNS, routes: int = ROUTES) -> DataFrame:
     """``doc_id, n_words, n_removed, kept, kept_sha256`` for every row of ``docs`` (kept only if ``texts``).
 
     A word goes if a window that covers it also starts in a document with a smaller id. Kept words are
     joined by single spaces. A null text has no words. A null id counts as larger than any other; rows with
     one id, or with null ids, take nothing from each other. Extra columns do no harm; no rows give no rows.
-    Windows count as equal when 96 bits of their hashes are.
+    Windows count as equal when 96 bits of their hashes are, of which 32 rest on other hashes of the words.
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     dealt = partitions(docs.sparkSession)
     parts = max(-(-total // part_bytes), min(dealt, -(-total // (part_bytes >> 4))), 1)
     windows = total // 6 + 1
-    slice_bits = max(-(-windows // slice_windows), min(dealt, -(-windows // (slice_windows >> 6)))).bit_length()
+    slice_bits = max(-(-windows // slice_windows), min(dealt, -(-windows // max(1, slice_windows >> 6)))).bit_length()
     cell_bits = max(6, (columns * windows >> slice_bits).bit_length())
-    shape = Shape(slice_bits, cell_bits, window)
+    shape = Shape(slice_bits, cell_bits, window, min(slice_bits, routes.bit_length() - 1))
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
-    rows = docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int").alias("part"), doc.alias("doc"), "text")
-    packed = rows.mapInArrow(_deal(parts), "part int, ids binary, sizes binary, texts binary")
-    sketches = packed.groupBy("part").applyInArrow(_sketch(shape), _ROWS)
-    repeated = sketches.groupBy("slice").applyInArrow(_merge_sketches(shape), _ROWS)
-    keys = packed.groupBy("part").cogroup(repeated.groupBy("part")).applyInArrow(_keys(shape), _ROWS)
-    later = keys.groupBy("slice").applyInArrow(_merge_keys, _ROWS)
+    # rows that repeat one document are dealt apart by the task that reads them
+    part = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(parts)).cast("int")
+    rows = docs.select(part.alias("part"), doc.alias("doc"), "text")
+    # written, so that all passes, and tasks that are run again, find the same rows in a part
+    packed = written(rows.mapInArrow(_deal(parts), "part int, ids binary, sizes binary, texts binary"), "substring-parts", compression="none")
+    repeated = _asked(packed.groupBy("part").applyInArrow(_sketch(shape), _ROWS), shape, SKETCH)
+    later = _asked(packed.groupBy("part").cogroup(repeated.groupBy("part")).applyInArrow(_keys(shape), _ROWS), shape, KEYS)
     return packed.groupBy("part").cogroup(repeated.unionByName(later).groupBy("part")).applyInArrow(_cut(shape, texts), _RESULT)

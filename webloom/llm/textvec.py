@@ -74,19 +74,32 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return spans(~_WHITE[data], offsets)
 
 
+def _bytes_of_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(sizes, first byte of each word among all words' bytes, place of each byte in its word, byte + 1)."""
+    size = ends - starts
+    first = np.zeros(len(size), np.int64)
+    np.cumsum(size[:-1], out=first[1:])
+    within = np.arange(int(size.sum()), dtype=np.int64) - np.repeat(first, size)
+    return size, first, within, data[within + np.repeat(starts, size)].astype(np.uint64) + np.uint64(1)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of the bytes of each word: a polynomial in an odd base modulo 2^64, then mixed with the length."""
     global _POWERS
     if not len(starts):
         return np.zeros(0, np.uint64)
-    size = ends - starts
-    longest = int(size.max())
-    while len(_POWERS) < longest:
+    size, first, within, value = _bytes_of_words(data, starts, ends)
+    while len(_POWERS) < size.max():
         _POWERS = np.concatenate([_POWERS, _POWERS * np.uint64(pow(_BASE, len(_POWERS), 1 << 64))])
-    total = int(size.sum())
-    first = np.zeros(len(size), np.int64)
-    np.cumsum(size[:-1], out=first[1:])
-    within = np.arange(total, dtype=np.int64) - np.repeat(first, size)
-    at = within + np.repeat(starts, size)
-    value = (data[at].astype(np.uint64) + np.uint64(1)) * _POWERS[within]
-    return mix64(np.add.reduceat(value, first) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return mix64(np.add.reduceat(value * _POWERS[within], first) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def word_marks(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Another 64-bit hash of each word, by another rule: the sum of its bytes, each mixed with its place.
+
+    Words whose polynomials collide (there are such for any base) do not collide here for that reason.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    size, first, within, value = _bytes_of_words(data, starts, ends)
+    return mix64(np.add.reduceat(mix64(value * _M1 + within.astype(np.uint64) * _M2), first) + size.astype(np.uint64))
