@@ -48,6 +48,16 @@ def test_ablations_against_counting(spark):
         assert r.n_failed == sum(m & quality.BIT[r.rule] != 0 for m in masks) and r.n_only == sum(m == quality.BIT[r.rule] for m in masks)
 
 
+def test_lone_failures_against_counting(spark):
+    rows = [(i, t) for i, t in enumerate(texts())]
+    own = quality.stored(spark.createDataFrame(rows, "doc_id long, text string"))
+    masks = [r.failed & quality.mask("web-1") for r in own.collect()]
+    names = {b: n for n, b in quality.BIT.items()}
+    for r in quality.lone_failures(own, "web-1").collect():
+        bits = r.failed & quality.mask("web-1")
+        assert (r.lone_rule, r.lone_docs) == ((names[bits], masks.count(bits)) if bits in names else (None, 0))
+
+
 def test_no_rows(spark):
     own = quality.ledger(spark.createDataFrame([], "doc_id long, text string"))
     assert own.count() == 0 and {r.n_failed for r in quality.ablations(own, "web-2").collect()} == {0}

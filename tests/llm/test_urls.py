@@ -1,3 +1,7 @@
+import random
+
+import pytest
+
 from webloom.llm import urls
 
 CASES = [
@@ -58,10 +62,41 @@ def test_graph_against_brute_force(spark):
         page(8, "bad.net", path="/de/1"),
     ]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r.page_id: r for r in urls.judge(df).collect()}
+    got = {r.page_id: r for r in urls.judge(df, damping=0.4).collect()}
     links = [("good.com", "friend.org", 1), ("bad.net", "good.com", 1), ("bad.net", "mill.org", 1), ("mill.org", "bad.net", 2), ("friend.org", "far.org", 1)]
-    trust = brute_rank(links, ["good.com"], urls.DAMPING, urls.ROUNDS)
-    distrust = brute_rank([(b, a, n) for a, b, n in links], ["bad.net"], urls.DAMPING, urls.ROUNDS)
+    trust = brute_rank(links, ["good.com"], 0.4, 60)
+    distrust = brute_rank([(b, a, n) for a, b, n in links], ["bad.net"], 0.4, 60)
     for r in got.values():
-        assert abs(r.trust - trust.get(r.host, 0)) < 1e-9 and abs(r.distrust - distrust.get(r.host, 0)) < 1e-9
+        assert abs(r.trust - trust.get(r.host, 0)) < 1e-8 and abs(r.distrust - distrust.get(r.host, 0)) < 1e-8
     assert {i: r.verdict for i, r in got.items()} == {0: "allow", 1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "allow", 8: "block"}
+
+
+def test_sql_on_a_graph(spark, tmp_path):
+    import duckdb
+
+    from webloom.llm import oracles, queries
+
+    rng = random.Random(4)
+    hosts = [f"h{i}.{rng.choice(['com', 'net', 'org'])}" for i in range(12)] + ["www.example.com", "example.com", "a.example.com"]
+    rows = []
+    for i in range(150):
+        at = rng.randrange(len(hosts))  # links lead on to two later hosts at most, so that evidence settles soon
+        links = "".join(f"<A id=1 HREF={rng.choice(['', chr(34)])}http://{rng.choice(hosts[at : at + 3] if at < 4 else [hosts[at], hosts[-1 - at // 5]]).upper()}/x>.</a>" for _ in range(rng.randint(0, 4)))
+        rows.append((i, f"http://{hosts[at]}/{rng.choice(['en', 'es', 'fr', 'de'])}/{i}?q", links + "<p>x</p>" * (20_000 if i == 7 else 1), "old"))
+    rows += [rows[3], rows[3], (None, rows[4][1], None, None), (900, None, rows[5][2], None), (901, "nothing", "<a href=//h1.org>", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, rule string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(str(tuple(r[c] for c in sorted(r.asDict()))) for r in queries.op8_url_filter(spark, str(tmp_path)).collect())
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    found = db.execute(oracles.SQL["op8_url_filter"])
+    names = [d[0] for d in found.description]
+    want = sorted(str(tuple(dict(zip(names, r))[c] for c in sorted(names))) for r in found.fetchall())
+    assert got == want and sum("'block'" in r for r in got) > 10
+
+
+def test_evidence_that_does_not_settle_is_an_error(spark):
+    links = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, n long")
+    with pytest.raises(RuntimeError, match="3 rounds"):
+        urls.propagate(links, spark.createDataFrame([("a",)], "host string"), most_rounds=3)
+    got = {r.host: r.score for r in urls.propagate(links, spark.createDataFrame([("a",)], "host string"), damping=0.1).collect()}
+    assert abs(got["a"] + got["b"] - 1) < 1e-7  # a tie in links, none of the evidence is lost

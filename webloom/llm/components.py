@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from webloom.workspace import written
+from webloom.workspace import dropped, written
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -37,7 +37,11 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     for k in range(most_rounds):
         if not before[0]:
             break
-        links = written(_star(written(_star(links, True), f"star-{k}l"), False), f"star-{k}s")
+        large = written(_star(links, True), f"star-{k}l")
+        small = written(_star(large, False), f"star-{k}s")
+        dropped(large)
+        dropped(links)
+        links = small
         now = _state(links)
         if now == before:
             break

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from webloom.llm.common import unused
 from webloom.workspace import partitions, written
 
 #: Code points from which a normalised line counts; documents from which it is dropped.
@@ -159,4 +160,4 @@ def without_shared_lines(docs: DataFrame, **settings) -> DataFrame:
             columns = [pa.array(texts, b.column(at).type) if i == at else b.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return _joined(docs, **settings).select("_row.*", F.col("keep").alias("_keep")).mapInArrow(run, docs.schema)
+    return _joined(docs, **settings).select("_row.*", F.col("keep").alias(unused(docs, "_keep"))).mapInArrow(run, docs.schema)

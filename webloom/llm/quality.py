@@ -1,9 +1,10 @@
 """Quality rules, as a ledger of rule bitmasks.
 
 Every rule is evaluated once for each document; the ledger keeps its failure bits in one long and the
-measurements behind them. A policy is a named, versioned set of rules, i.e. a mask: applying one to the
+measurements behind them; ``stored`` writes it to the shared folder. A policy is a named, versioned set of rules, i.e. a mask: applying one to the
 ledger is a bitwise AND, and asking what a policy would do without one of its rules is an aggregation of
-such masks. Neither reads a text again. Only DataFrame functions are used, and no row leaves its task.
+such masks. Neither reads a text again. Only DataFrame functions are used, and of documents only counts by
+mask leave their tasks.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from webloom.llm.common import WORD, let
+from webloom.workspace import written
 
 #: Words of a window in which repeats are sought.
 WINDOW = 8
@@ -83,12 +85,30 @@ def ledger(docs: DataFrame) -> DataFrame:
     return measured.withColumn("failed", failed)
 
 
+def stored(docs: DataFrame) -> DataFrame:
+    """The ledger of ``docs`` as a table in the shared folder: no policy or ablation evaluates a rule again."""
+    return written(ledger(docs), "quality-ledger")
+
+
 def apply_policy(kept_in: DataFrame, policy: str) -> DataFrame:
     """The ledger with ``base_failed`` and ``kept`` under a policy; a document that fails a base rule is never kept."""
     base, all_ = F.lit(mask("base-1")).cast("long"), F.lit(mask(policy) | mask("base-1")).cast("long")
     return kept_in.withColumn("base_failed", F.col("failed").bitwiseAND(base) != 0).withColumn("kept", F.col("failed").bitwiseAND(all_) == 0)
 
 
+def lone_failures(kept_in: DataFrame, policy: str) -> DataFrame:
+    """``kept_in`` with what dropping a single rule would change: ``lone_rule`` (the one rule of the policy that
+    the document fails; null if it fails none or several) and ``lone_docs`` (documents that this rule alone keeps
+    out, so that would be kept without it; 0 without such a rule)."""
+    alone = F.lit(None).cast("string")
+    bits = F.col("failed").bitwiseAND(F.lit(mask(policy)).cast("long"))
+    for rule in POLICIES[policy]:
+        alone = F.when(bits == BIT[rule], F.lit(rule)).otherwise(alone)
+    # one row a rule
+    counts = F.broadcast(written(ablations(kept_in, policy), "quality-ablations").select(F.col("rule").alias("lone_rule"), F.col("n_only").alias("_only")))
+    return kept_in.withColumn("lone_rule", alone).join(counts, "lone_rule", "left").withColumn("lone_docs", F.coalesce("_only", F.lit(0).cast("long"))).drop("_only")
+
+
 def ablations(kept_in: DataFrame, policy: str) -> DataFrame:
     """``rule, n_failed, n_only`` for each rule of a policy: documents that fail it, and those that would be
     kept without it. One pass over the masks: documents are first counted by mask, at most one row a mask."""

@@ -46,12 +46,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urls.judge(table(spark, sf_dir, "pages"))
+    judged = urls.judge(table(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", F.round("trust", 6).alias("trust"), F.round("distrust", 6).alias("distrust"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents")), "web-2")
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
+    own = quality.stored(table(spark, sf_dir, "documents"))
+    judged = quality.apply_policy(quality.lone_failures(own, "web-2"), "web-2")
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed", "lone_rule", "lone_docs")
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Model:

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from webloom.workspace import written
+from webloom.workspace import dropped, written
 
 #: (rule, verdict): host, then the path from the first slash on.
 RULES: tuple[tuple[str, str], ...] = (
@@ -27,7 +27,9 @@ RULES: tuple[tuple[str, str], ...] = (
     ("net/es/", "block"),
     ("net/fr/", "block"),
 )
-DAMPING, ROUNDS = 0.85, 20
+DAMPING = 0.85
+#: Propagation ends when a round moves no more than this share of all evidence; more rounds than this are an error.
+SETTLED, MOST_ROUNDS = 1e-9, 400
 #: Distrust counts from this share of the mean over hosts.
 LEAST = 0.1
 
@@ -70,10 +72,12 @@ def host_links(pages: DataFrame) -> DataFrame:
     return out.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """``host, score``: personalised PageRank along ``links`` (src, dst, n) from ``seeds`` (host), after ``rounds`` rounds.
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, settled: float = SETTLED, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """``host, score``: personalised PageRank along ``links`` (src, dst, n) from ``seeds`` (host).
 
-    The seeds share 1. What reaches a host without links is not passed on.
+    The seeds share 1. What reaches a host without links is not passed on. Rounds go on until one moves
+    ``settled`` at most in all, which takes about log(settled) / log(damping) of them; it is an error if
+    ``most_rounds`` don't get there.
     """
     n = seeds.count()
     start = written(seeds.select("host", F.lit(1.0 / max(n, 1)).alias("score")), "ppr-seeds")
@@ -81,15 +85,24 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     shares = written(links.join(total, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")), "ppr-links")
     if not n or shares.isEmpty():
         return start.withColumn("score", F.col("score") * (1 - damping))
-    scores = start
-    for k in range(rounds):
+    scores = written(start.withColumn("before", F.lit(0.0)), "ppr-0")
+    for k in range(most_rounds):
         moved = shares.join(scores, shares["src"] == scores["host"]).groupBy("dst").agg((F.sum(F.col("share") * F.col("score")) * damping).alias("score"))
-        both = start.select("host", (F.col("score") * (1 - damping)).alias("score")).unionByName(moved.withColumnRenamed("dst", "host"))
-        scores = written(both.groupBy("host").agg(F.sum("score").alias("score")), f"ppr-{k}")
-    return scores
-
-
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, least: float = LEAST, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+        parts = [
+            start.select("host", (F.col("score") * (1 - damping)).alias("score"), F.lit(0.0).alias("before")),
+            moved.select(F.col("dst").alias("host"), "score", F.lit(0.0).alias("before")),
+            scores.select("host", F.lit(0.0).alias("score"), F.col("score").alias("before")),
+        ]
+        both = parts[0].unionByName(parts[1]).unionByName(parts[2])
+        after = written(both.groupBy("host").agg(F.sum("score").alias("score"), F.sum("before").alias("before")), f"ppr-{k + 1}")
+        dropped(scores)
+        scores = after
+        if (scores.agg(F.sum(F.abs(F.col("score") - F.col("before")))).first()[0] or 0.0) <= settled:
+            return scores.select("host", "score")
+    raise RuntimeError(f"evidence still moves after {most_rounds} rounds")
+
+
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, least: float = LEAST, damping: float = DAMPING) -> DataFrame:
     """``page_id, host, path, rule, verdict, trust, distrust`` for every row.
 
     A null url, or one without ``://``, has an empty host and path, fits no rule and is allowed; null html
@@ -101,9 +114,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, least: flo
         "url-hosts",
     )
     links = written(host_links(ruled), "url-links")
-    trust = propagate(links, hosts.where("2 * allowed > n").select("host"), damping, rounds)
+    trust = propagate(links, hosts.where("2 * allowed > n").select("host"), damping)
     against = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = propagate(against, hosts.where("2 * blocked > n").select("host"), damping, rounds)
+    distrust = propagate(against, hosts.where("2 * blocked > n").select("host"), damping)
     mean = 1.0 / max(hosts.count(), 1)
     both = trust.select("host", F.col("score").alias("trust"), F.lit(0.0).alias("distrust")).unionByName(distrust.select("host", F.lit(0.0).alias("trust"), F.col("score").alias("distrust")))
     scored = written(both.groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")), "url-scores")
