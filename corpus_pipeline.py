@@ -9,14 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from webloom.llm import lines, mixing, sentencepiece, simhash, toxicity
+from webloom.llm.common import unused
 from webloom.llm.queries import TOXIC, toxicity_model
 from webloom.workspace import written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score ``TOXIC`` or more go. The model is fitted on labelled rows of the whole table."""
-    scored = toxicity.score(docs, toxicity_model(spark, sf_dir), "_toxicity")
-    return scored.where(F.col("_toxicity") < TOXIC).drop("_toxicity")
+    name = unused(docs, "_toxicity")
+    scored = toxicity.score(docs, toxicity_model(spark, sf_dir), name)
+    return scored.where(F.col(name) < TOXIC).drop(name)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,16 +31,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of linked documents the one with the smallest id stays (rows with a null id always stay)."""
     found = simhash.near_duplicates(docs, root=True)
     names = F.col("doc_id") == F.col("component_id")
-    ids = found.groupBy("doc_id").agg(F.count("*").alias("_n"), F.count(F.when(names, 1)).alias("_names"))
-    stays = written(ids.where("_names > 0").select("doc_id", "_n"), "pipeline-stays")
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.count(F.when(names, 1)).alias("names"))
+    stays = written(ids.where("names > 0").select("doc_id", "n"), "pipeline-stays")
+    # whole rows are one column on the way, so that no name of theirs clashes with those used here
+    rows = docs.select("doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     # the ids that stay grow with the corpus, so they are never broadcast: one plan at every size
-    kept = docs.join(stays.hint("merge"), "doc_id").select(*docs.columns, "_n")
-    single, repeated = kept.where("_n = 1").drop("_n"), kept.where("_n > 1").drop("_n")
-    if not stays.where("_n > 1").isEmpty():  # rows that share an id: one of each component that it names
-        rows = simhash.fingerprints(repeated.select(F.struct(*docs.columns).alias("doc_id"), "text")).select("doc_id.*", F.col("fp").alias("_fp"))
-        of = found.where(names).join(stays.where("_n > 1").hint("merge"), "doc_id").select("doc_id", F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct()
-        single = single.unionByName(rows.join(of.hint("merge"), ["doc_id", "_fp"]).dropDuplicates(["doc_id", "_root"]).select(*docs.columns))
-    return single.unionByName(docs.where("doc_id is null"))
+    kept = rows.join(stays.hint("merge"), "doc_id").select("row", "n")
+    out = kept.where("n = 1").select("row.*")
+    if not stays.where("n > 1").isEmpty():  # rows that share an id: one of each component that it names
+        repeated = kept.where("n > 1").select(F.col("row").alias("doc_id"), "row.text")
+        marked = simhash.fingerprints(repeated).select("doc_id.doc_id", "fp", F.col("doc_id").alias("row"))
+        of = found.where(names).join(stays.where("n > 1").hint("merge"), "doc_id").select("doc_id", "fp", "root").distinct()
+        out = out.unionByName(marked.join(of.hint("merge"), ["doc_id", "fp"]).dropDuplicates(["doc_id", "root"]).select("row.*"))
+    return out.unionByName(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
