@@ -63,3 +63,39 @@ def test_one_id_on_unlike_texts(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect())
     assert got == sorted([(1, a), (1, b), (3, c), (5, "quite another text of few words")])
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _n int, n int, names string, row string, fp long, root string, _toxicity double, _keep binary, component_id long, label string, score string"
+
+
+def odd_rows():
+    line = "a line of more than forty characters that many documents share"
+    copy = " ".join(f"word{k}" for k in range(30))
+    texts = [None, "", "one", "x " * 40_000 + "end", *[f"{line}\nown text of document number {i} and some more words {i}" for i in range(6)], copy, copy, copy]
+    tail = (7, 7, "names", "row", 7, "root", 0.9, b"k", 7, "label", "score")
+    rows = [(i, t, "en", "s", len(t or "")) + tail for i, t in enumerate(texts)]
+    rows += [rows[5], rows[5], (None, copy, None, None, None) + tail, (None, None, None, None, None) + (None,) * 11, (2, "other text of a repeated id", None, None, 27) + tail]
+    return rows
+
+
+def test_stages_take_nulls_repeats_long_texts_and_clashing_names(spark, sf):
+    docs = spark.createDataFrame(odd_rows(), ODD)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, after = docs, stage(spark, docs, sf)
+        assert after.columns == before.columns, name
+        docs = corpus_pipeline.written(after, "test-odd")
+        rest = {c for c in docs.columns if c not in ("text", "n_chars")}
+        assert docs.select(*rest).exceptAll(before.select(*rest).unionAll(before.select(*rest)).unionAll(before.select(*rest))).isEmpty(), name  # mixing takes a row three times at most
+        if name == "simhash_near_dedup":
+            got = sorted((str(r.doc_id), str(r.text)) for r in docs.select("doc_id", "text").collect())
+            assert [d for d, _ in got].count("None") == 2 and [d for d, _ in got].count("2") == 2 and [d for d, _ in got].count("5") == 1
+            assert {d for d, _ in got} >= {"0", "2", "3", "5", "10"} and not {"1", "11", "12"} & {d for d, _ in got}
+    ids = corpus_pipeline.encode(spark, docs, sf)
+    assert ids.columns == ["doc_id", "lang", "source", "n_ids", "ids"] and ids.count() == docs.count()
+
+
+def test_no_rows_give_no_rows(spark, sf):
+    docs = spark.createDataFrame([], ODD)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+    assert docs.count() == 0
