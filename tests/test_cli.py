@@ -12,5 +12,5 @@ def test_cells_from_a_shell(spark, capsys):
     assert run("scan", "pt-cli").splitlines() == ["a\tx\t2", "b\ty\t3"] and run("scan", "pt-cli", "b").splitlines() == ["b\ty\t3"]
     run("delete", "pt-other")
     run("rename", "pt-cli", "pt-other")
-    assert "pt_other" in run("tables") and run("scan", "pt-cli") == ""
+    assert "pt-other" in run("tables") and run("scan", "pt-cli") == ""
     run("delete", "pt-other")

@@ -96,3 +96,24 @@ def test_row_files(spark, tmp_path):
     assert (got["k1"].url, got["k1"].page, got["k1"].response_code) == ("a b c", "<p>\n</p>", 200)
     assert (got["k2"].url, got["k2"].page, got["k2"].length) == ("z", None, None)
     assert rowfiles.parse_row(b"") is None
+
+
+def test_fold_of_many_pieces(spark):
+    own = Bag(spark.range(0, 100_003, 1, 7).select(F.col("id")))
+    assert own.fold(0, lambda a, b: a + b, "long") == 100_003 * 100_002 // 2
+    assert own.fold(-1, lambda a, b: F.greatest(a, b), "long") == 100_002
+
+
+def test_names_of_tables_stay_apart(spark):
+    tables = kv.Catalog(spark)
+    for name in ("pt-a-b", "pt-a_b", "pt-A-b", "mem-X", "pt-mem"):
+        tables.delete(name)
+    for k, name in enumerate(("pt-a-b", "pt-a_b", "pt-A-b", "mem-X")):
+        tables.write(name, spark.createDataFrame([(str(k),)], "key string"))
+    assert [tables.read(n).first().key for n in ("pt-a-b", "pt-a_b", "pt-A-b", "mem-X")] == ["0", "1", "2", "3"]
+    assert {"pt-a-b", "pt-a_b", "pt-A-b", "mem-X"} <= set(tables.tables())
+    tables.rename("mem-X", "pt-mem")
+    assert tables.read("pt-mem").first().key == "3" and tables.exists("mem-X")
+    for name in ("pt-a-b", "pt-a_b", "pt-A-b", "mem-X", "pt-mem"):
+        tables.delete(name)
+    assert not {"pt-a-b", "pt-mem", "mem-X"} & set(tables.tables())

@@ -130,3 +130,87 @@ def test_streams(spark, tmp_path):
     times = sorted(r.at.timestamp() for r in got["polite"] if r.host == "h")
     assert len(got["polite"]) == 4 and all(b - a >= 0.999 for a, b in zip(times, times[1:]))
     assert sorted(r.url for r in got["seen"]) == ["http://g/1", "http://h/1", "http://h/2"]
+
+
+def test_fetching_from_a_server(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    asked = []
+
+    class Site(BaseHTTPRequestHandler):
+        def do_HEAD(self):
+            asked.append((self.command, self.path))
+            here = {
+                "/robots.txt": (200, "text/plain", "User-agent: webloom\nDisallow: /secret\nCrawl-delay: 0.05\n"),
+                "/": (200, "text/html; charset=utf-8", '<a href="/one.html">1</a> <a href="/moved.html">2</a> <a href="/secret.html">3</a> <a href="/data.bin">4</a> <a href="/gone.html">5</a>'),
+                "/one.html": (200, "text/html", "one"),
+                "/moved.html": (302, "text/html", "/target.html"),
+                "/target.html": (200, "text/html", "<p>target</p>"),
+                "/data.bin": (200, "application/octet-stream", "x" * 100),
+            }.get(self.path)
+            code, kind, body = here or (404, "text/html", "gone")
+            self.send_response(code)
+            self.send_header("Content-Type", kind)
+            if code == 302:
+                self.send_header("Location", body)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            if self.command == "GET":
+                self.wfile.write(body.encode())
+
+        do_GET = do_HEAD
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    rows, left = crawl.crawl_online(spark, [f"{base}/", "http://127.0.0.1:1/"], filtered=False, timeout=5.0)
+    got = {r.url.removeprefix(base): r for r in rows.collect()}
+    server.shutdown()
+    assert left.isEmpty() and {k: r.response_code for k, r in got.items()} == {"/": 200, "/one.html": 200, "/moved.html": 302, "/secret.html": 0, "/data.bin": 200, "/gone.html": 404, "/target.html": 200, "http://127.0.0.1:1/": -1}
+    assert got["/one.html"].page == "one" and got["/target.html"].page == "<p>target</p>" and got["/data.bin"].page is None and got["/data.bin"].length == 100
+    assert ("GET", "/data.bin") not in asked and not [p for _, p in asked if p == "/secret.html"]
+
+
+def test_a_large_frontier_loses_nothing(spark):
+    links = "".join(f'<a href="http://h{i % 50}.com/{i}">x</a>' for i in range(7000))
+    web = spark.createDataFrame([("http://h.com:80/", links)], "url string, page string")
+    got = crawl.crawl(spark, ["http://h.com"], web, filtered=False, one_per_host=False)
+    assert got.select("url").distinct().count() == 7001
+
+
+def test_ranks_that_do_not_settle_are_an_error(spark):
+    nodes = spark.createDataFrame([("a",), ("b",)], "node string")
+    links = spark.createDataFrame([("a", "b")], "src string, dst string")
+    with pytest.raises(RuntimeError, match="after 1 rounds"):
+        pagerank.pagerank(nodes, links, 1e-6, most_rounds=1)
+
+
+def test_stemmed_search_against_counting(spark, sf):
+    import math
+
+    from webloom.functions.stem import stem
+    from webloom.plans.queries import SEARCH, q_search_stemmed, q_tfidf_stemmed_dictionary
+
+    weights = {(r.term, r.url): r.tfidf for r in q_tfidf_stemmed_dictionary(spark, sf).collect()}
+    n, tokens = spark.read.parquet(f"{sf}/pages.parquet").count(), [stem(w) for w in SEARCH.split()]
+    times = {w: tokens.count(w) for w in tokens}
+    df = {w: sum(x == w for x, _ in weights) for w in times}
+    q = {w: times[w] / len(tokens) * math.log(n / df[w]) for w in times if df[w]}
+    below = math.sqrt(sum(times[w] * v * v for (w, _), v in weights.items() if w in q)) * math.sqrt(sum(v * v for v in q.values()))
+    want = {}
+    for (w, u), v in weights.items():
+        if w in q:
+            want[u] = want.get(u, 0.0) + times[w] * v * q[w] / below
+    got = {r.url: r.score for r in q_search_stemmed(spark, sf).collect()}
+    assert got.keys() == want.keys() and all(abs(got[u] - want[u] - 0.15) < 2e-6 for u in got)
+
+
+def test_posting_blocks_hold_all_postings(spark):
+    web = spark.createDataFrame([(f"u{i}", "common word" if i % 2 else "common") for i in range(300)] + [("u1", "common")], "url string, page string")
+    got = index.posting_blocks(web, 40).collect()
+    assert sorted(u for r in got if r.term == "common" for u in r.urls) == sorted({f"u{i}" for i in range(300)})
+    assert len([r for r in got if r.term == "common"]) == 8 and max(len(r.urls) for r in got) < 80

@@ -34,3 +34,20 @@ def robots_delay(robots: Column, agent: str = AGENT) -> Column:
     of = lambda a: F.filter(_lines(robots, a), lambda x: F.substring_index(x, ":", 1) == "Crawl-delay")
     first = F.get(F.concat(of(agent), of("*")), F.lit(0))
     return F.coalesce(F.substring(first, F.locate(":", first) + 1, F.length(first)).try_cast("double") * 1000, F.lit(DEFAULT_DELAY_MS))
+
+
+def robots_rules(robots: str, agent: str = AGENT) -> tuple[list[tuple[str, str]], float]:
+    """The same of one robots.txt, outside of Spark: ([(Allow or Disallow, path)] in the order in which they decide, milliseconds)."""
+    rules, delays = [], []
+    for name in (agent, "*"):
+        for block in re.findall(r"\nUser-agent: " + re.escape(name) + r"\n((?:[^\n]+\n)*)", f"\n{robots}\n"):
+            for line in block.splitlines():
+                key, colon, value = line.partition(":")
+                if colon and key == "Crawl-delay":
+                    delays.append(value)
+                elif colon and value[1:]:
+                    rules.append(("Disallow" if key == "Disallow" else "Allow", value[1:]))
+    try:
+        return rules, float(delays[0]) * 1000 if delays else DEFAULT_DELAY_MS
+    except ValueError:
+        return rules, DEFAULT_DELAY_MS

@@ -10,9 +10,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 Expr = Callable[[Column], Column]
+#: Groups in which partial results of a fold meet.
+FOLD_GROUPS = 1024
 
 
 class Bag:
@@ -85,14 +88,24 @@ class Bag:
     # whole-collection
 
     def fold(self, zero, merge: Callable[[Column, Column], Column], kind: str = "string"):
-        """Python value of folding all values from ``zero``: partitions first, then their results, which are
-        folded from ``zero`` again; so zero should be neutral and ``merge`` associative and commutative."""
+        """Python value of folding all values from ``zero``: pieces of partitions first, then their results, which
+        are folded from ``zero`` again; so zero should be neutral and ``merge`` associative and commutative.
+
+        A piece is an Arrow batch, made a list where it is: no value is shuffled. The pieces' results meet in
+        ``FOLD_GROUPS`` groups and only those groups' in one task.
+        """
         start = F.lit(zero).cast(kind)
-        # a piece of 65,536 rows of a partition at most is folded at once
-        numbered = self.df.select(F.col("value").cast(kind).alias("value"), F.monotonically_increasing_id().alias("i"))
-        pieces = numbered.groupBy(F.shiftright("i", 16).alias("piece")).agg(F.collect_list("value").alias("values"))
-        folded = pieces.select(F.aggregate("values", start, merge).alias("v"))
-        return folded.agg(F.aggregate(F.collect_list("v"), start, merge).alias("v")).first()["v"]
+
+        def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    yield pa.RecordBatch.from_arrays([pa.LargeListArray.from_arrays([0, b.num_rows], b.column(0)).cast(pa.list_(b.column(0).type))], names=["values"])
+
+        pieces = self.df.select(F.col("value").cast(kind).alias("value")).mapInArrow(listed, f"values array<{kind}>")
+        folded = pieces.select(F.aggregate("values", start, merge).alias("v"), F.pmod(F.monotonically_increasing_id(), F.lit(FOLD_GROUPS)).alias("g"))
+        rest = lambda c: F.aggregate(F.slice(c, 2, F.size(c)), c[0], merge)
+        groups = folded.groupBy("g").agg(F.collect_list("v").alias("all")).where(F.size("all") > 0).select(rest(F.col("all")).alias("v"))
+        return groups.agg(F.aggregate(F.collect_list("v"), start, merge).alias("v")).first()["v"]
 
     def aggregate(self, value: Column) -> DataFrame:
         """A built-in aggregate over ``value``: partial in every task, then final."""

@@ -6,16 +6,25 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from webloom.functions.html import heading_paragraph_words, html_text, page_words, words_of
 from webloom.functions.stem import porter_stem
+from webloom.workspace import written
 
 
 def postings(crawl: DataFrame) -> DataFrame:
-    """``term, url``: the distinct words of each page."""
-    return crawl.where("page is not null and url is not null").select(F.explode(page_words(F.col("page"))).alias("term"), "url").distinct()
+    """``term, url``: the distinct words of each page, once a row of the page."""
+    return crawl.where("page is not null and url is not null").select(F.explode(page_words(F.col("page"))).alias("term"), "url")
 
 
 def inverted_index(crawl: DataFrame) -> DataFrame:
-    """``term, urls`` in order of url."""
-    return postings(crawl).groupBy("term").agg(F.array_sort(F.collect_list("url")).alias("urls"))
+    """``term, urls`` in order of url: a word that very many pages have is one long row; see ``posting_blocks``."""
+    return postings(crawl).groupBy("term").agg(F.array_sort(F.collect_set("url")).alias("urls"))
+
+
+def posting_blocks(crawl: DataFrame, size: int = 10_000) -> DataFrame:
+    """``term, block, urls``: the same postings in blocks of about ``size`` urls, dealt by a hash of the url."""
+    own = written(postings(crawl).distinct(), "postings")
+    n = own.groupBy("term").agg(F.ceil(F.count("*") / size).alias("blocks"))
+    dealt = F.pmod(F.conv(F.substring(F.md5(F.col("url").cast("binary")), 1, 8), 16, 10).cast("long"), F.col("blocks"))
+    return own.join(n, "term").groupBy("term", dealt.alias("block")).agg(F.array_sort(F.collect_list("url")).alias("urls"))
 
 
 def term_frequencies(of_page: DataFrame) -> DataFrame:
@@ -63,6 +72,7 @@ def document_frequencies(tf: DataFrame) -> DataFrame:
 def tfidf(tf: DataFrame, n_docs: int | Column) -> DataFrame:
     """``term, url, tfidf``: tf times ln(N / df)."""
     n = F.lit(n_docs) if isinstance(n_docs, int) else n_docs
+    tf = written(tf, "tf")  # read twice, and dear to compute
     return tf.join(document_frequencies(tf), "term").select("term", "url", (F.col("tf") * F.ln(n / F.col("df"))).alias("tfidf"))
 
 

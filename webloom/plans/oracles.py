@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from webloom.functions import html
 from webloom.plans.queries import ROBOTS, SEARCH, WORDS
 from webloom.plans.search import query_terms
 
@@ -60,12 +61,13 @@ def key(u: str) -> str:
 
 
 PAGE_WORDS = r"""list_distinct(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(lower(page), '<.*?>', ' ', 'g'), '[.,:;!?''"()-]', ' ', 'g'), '[\t\n\r]', ' ', 'g'), ' '), lambda x: x <> ''))"""
-HTML_TEXT = "lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(page, '(?s)<script[^>]*>.*?</script>', ' ', 'g'), '(?s)<style[^>]*>.*?</style>', ' ', 'g'), '<[^>]+>', ' ', 'g'), '[^a-zA-Z ]', ' ', 'g'))"
+HTML_TEXT = f"lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(page, '{html.SCRIPT}', ' ', 'g'), '{html.STYLE}', ' ', 'g'), '{html.ANY_TAG}', ' ', 'g'), '{html.NO_LETTER}', ' ', 'g'))"
 HP_WORDS = (
-    "list_filter(flatten(list_transform(list_concat(regexp_extract_all(page, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1), regexp_extract_all(page, '(?is)<p[^>]*>(.*?)</p>', 1)), "
-    "lambda b: string_split_regex(lower(regexp_replace(regexp_replace(b, '<[^>]+>', ' ', 'g'), '[^a-zA-Z ]', ' ', 'g')), ' +'))), lambda x: x <> '')"
+    f"list_filter(flatten(list_transform(list_concat(regexp_extract_all(page, '{html.HEADING}', 1), regexp_extract_all(page, '{html.PARAGRAPH}', 1)), "
+    f"lambda b: string_split_regex(lower(regexp_replace(regexp_replace(b, '{html.ANY_TAG}', ' ', 'g'), '{html.NO_LETTER}', ' ', 'g')), ' +'))), lambda x: x <> '')"
 )
-TITLE = "CASE WHEN regexp_matches(page, '(?is)<head[^>]*>(.*?)</head>') AND regexp_matches(regexp_extract(page, '(?is)<head[^>]*>(.*?)</head>', 1), '(?is)<title[^>]*>(.*?)</title>') THEN regexp_extract(regexp_extract(page, '(?is)<head[^>]*>(.*?)</head>', 1), '(?is)<title[^>]*>(.*?)</title>', 1) END"
+INSIDE = f"regexp_extract(page, '{html.HEAD}', 1)"
+TITLE = f"CASE WHEN regexp_matches(page, '{html.HEAD}') AND regexp_matches({INSIDE}, '{html.TITLE}') THEN regexp_extract({INSIDE}, '{html.TITLE}', 1) END"
 
 CRAWL = f"parsed AS (SELECT *, {parts('url')} AS p FROM pages), crawl AS (SELECT page_id, {seed('p')} AS url, html AS page, strlen(html)::BIGINT AS length FROM parsed)"
 HTML_TF = (
@@ -112,7 +114,8 @@ def searched(norm: str = "global") -> str:
         "s AS (SELECT url, sum(times * tfidf * q) AS dot, sum(times * tfidf * tfidf) AS own FROM f JOIN q USING (term) GROUP BY url), "
         f"c AS (SELECT url, {below} * (SELECT sqrt(sum(q * q)) FROM q) AS below, dot FROM s), "
         f"k AS (SELECT url, CASE WHEN below = 0 THEN {zero} ELSE dot / below END AS score FROM c), "
-        "ranks AS (SELECT url, 0.15 + page_id % 7 / 10.0::DOUBLE AS rank FROM crawl WHERE page_id % 2 = 0), "
+        # PageRank of pages that no crawled page links to
+        "ranks AS (SELECT url, 0.15::DOUBLE AS rank FROM crawl), "
         "res AS (SELECT k.url, k.score + coalesce(rank, 0) AS score FROM k LEFT JOIN ranks USING (url))"
     )
 
@@ -168,7 +171,7 @@ SQL: dict[str, str] = {
     "rdd_flat_map_to_pair": "SELECT unnest(string_split(p_name, ' ')) AS k, length(p_name)::INTEGER AS v FROM part",
     "pair_flat_map": "SELECT p_brand || ':' || unnest(string_split(p_name, ' ')) AS value FROM part",
     "pair_flat_map_to_pair": "SELECT unnest(string_split(p_name, ' ')) AS k, p_brand AS v FROM part",
-    "rdd_filter": "SELECT strftime(l_shipdate, '%Y-%m-%d') AS value FROM lineitem WHERE l_quantity > 45 AND year(l_shipdate) = 1995",
+    "rdd_filter": "SELECT strftime(l_shipdate, '%Y-%m-%d') AS value FROM lineitem WHERE year(l_shipdate) = 1995",
     "map_partitions": "SELECT upper(substr(c_name, 1, 10)) AS value FROM customer",
     "pair_join": "SELECT o_custkey AS k, o_orderkey::VARCHAR || ',' || c_name AS v FROM orders JOIN customer ON c_custkey = o_custkey",
     "pair_cogroup": (
@@ -209,6 +212,7 @@ SQL: dict[str, str] = {
     "robots_delay": robot_sql("delay"),
     "dictionary_filter": f"WITH {CRAWL}, d AS (SELECT DISTINCT trim(w) AS word FROM (SELECT unnest(string_split_regex(lower(text), '[^a-z]+')) AS w FROM benchmark) WHERE length(trim(w)) > 2), x AS (SELECT unnest({HP_WORDS}) AS word FROM crawl) SELECT word, count(*) AS n FROM x WHERE word IN (SELECT word FROM d) GROUP BY word",
     "inverted_index": f"WITH {CRAWL}, x AS (SELECT DISTINCT unnest({PAGE_WORDS}) AS term, url FROM crawl) SELECT term, string_agg(url, ',' ORDER BY url) AS urls FROM x GROUP BY term",
+    "inverted_index_blocks": f"WITH {CRAWL}, x AS (SELECT DISTINCT unnest({PAGE_WORDS}) AS term, url FROM crawl), b AS (SELECT term, url, ('0x' || substr(md5(url), 1, 8))::BIGINT % ceil(count(*) OVER (PARTITION BY term) / 50.0)::BIGINT AS block FROM x) SELECT term, block, string_agg(url, ',' ORDER BY url) AS urls FROM b GROUP BY term, block",
     "df_count": f"WITH {HTML_TF} SELECT term, count(*) AS df FROM tf GROUP BY term",
     "tf_html": f"WITH {HTML_TF} SELECT url, term, round(tf, 9) AS tf FROM tf",
     "tfidf_html": f"WITH {HTML_TF}, {IDF} SELECT url, term, round(tfidf, 9) AS tfidf FROM w",
@@ -220,7 +224,7 @@ SQL: dict[str, str] = {
     "search_per_doc": f"WITH {searched('per_doc')} SELECT url, round(score, 6) AS score FROM res",
     "search_topk": f"WITH {searched()} SELECT url, round(score, 6) AS score FROM res ORDER BY round(score, 9) DESC, url LIMIT 10",
     "search_json": f"WITH {searched()}, b AS (SELECT res.url, score, {TITLE} AS title FROM res LEFT JOIN crawl USING (url) ORDER BY round(score, 9) DESC, url LIMIT 10) SELECT '{{\"data\":[' || string_agg('{{\"url\":' || to_json(url) || CASE WHEN title IS NULL THEN '' ELSE ',\"title\":' || to_json(title) END || '}}', ',' ORDER BY round(score, 9) DESC, url) || ']}}' AS json FROM b",
-    "crawl_unvisited_anti_join": f"WITH {CRAWL} SELECT DISTINCT url FROM crawl WHERE url NOT IN (SELECT url FROM crawl WHERE length % 3 = 0)",
+    "crawl_unvisited_anti_join": f"WITH {CRAWL} SELECT DISTINCT url FROM crawl WHERE url NOT IN (SELECT url FROM crawl WHERE contains(url, '.com:'))",
     "crawl_host_politeness": f"WITH {CRAWL}, h AS (SELECT url, split_part(split_part(url, '/', 3), ':', 1) AS host FROM crawl) SELECT url, host, url = min(url) OVER (PARTITION BY host) AS now FROM h",
     "crawl_loop": (
         f"WITH {PAGE_LINKS}, s AS (SELECT DISTINCT url FROM crawl WHERE page_id IN (SELECT page_id FROM pages ORDER BY page_id LIMIT 5)), "
@@ -230,7 +234,7 @@ SQL: dict[str, str] = {
         "SELECT url, url IN (SELECT url FROM crawl) AS found FROM (SELECT url FROM f0 UNION ALL SELECT url FROM f1)"
     ),
     "crawl_round": (
-        f"WITH {PAGE_LINKS}, todo AS (SELECT DISTINCT url, split_part(split_part(url, '/', 3), ':', 1) AS host FROM crawl WHERE url NOT IN (SELECT url FROM crawl WHERE length % 3 = 0)), "
+        f"WITH {PAGE_LINKS}, todo AS (SELECT DISTINCT url, split_part(split_part(url, '/', 3), ':', 1) AS host FROM crawl WHERE url NOT IN (SELECT url FROM crawl WHERE contains(url, '.com:'))), "
         "pick AS (SELECT url, url = min(url) OVER (PARTITION BY host) AS now FROM todo), "
         "ahead AS (SELECT url FROM pick WHERE NOT now UNION ALL SELECT norm.url FROM norm JOIN pick ON pick.url = norm.base AND pick.now WHERE norm.url IS NOT NULL) SELECT url, count(*) AS n FROM ahead GROUP BY url"
     ),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from webloom.workspace import written
+from webloom.workspace import dropped, written
 
 DAMPING = 0.85
 
@@ -38,15 +38,17 @@ def converged_percent(ranks: DataFrame, threshold: float) -> DataFrame:
 
 
 def pagerank(nodes: DataFrame, links: DataFrame, threshold: float, percent: float = 100.0, exclude_self_links: bool = True, most_rounds: int = 200) -> DataFrame:
-    """``node, rank, prev`` once at least ``percent`` of the nodes moved by ``threshold`` at most.
+    """``node, rank, prev`` once at least ``percent`` of the nodes moved by ``threshold`` at most; an error if
+    ``most_rounds`` don't get there.
 
     Each round is written to the shared folder, so plans stay short and a lost executor costs one round.
     """
     share = written(shares(links, exclude_self_links), "pagerank-links")
     ranks = written(nodes.select("node", F.lit(1.0).alias("rank"), F.lit(1.0).alias("prev")), "pagerank-0")
     for k in range(most_rounds):
-        ranks = written(step(ranks, share), f"pagerank-{k + 1}")
+        before, ranks = ranks, written(step(ranks, share), f"pagerank-{k + 1}")
+        dropped(before)
         done = converged_percent(ranks, threshold).first()["percent"]
         if done is None or done >= percent:
             return ranks
-    return ranks
+    raise RuntimeError(f"ranks of {100 - done:.3g} % of the nodes still move after {most_rounds} rounds")

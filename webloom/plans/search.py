@@ -3,13 +3,31 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from webloom.functions.hashing import url_hash
 from webloom.functions.html import page_title
 from webloom.functions.stem import stem
-from webloom.workspace import written
+from webloom.workspace import partitions, written
+
+
+@dataclass
+class Index:
+    """What a search reads: ``weights`` (term, url, tfidf) in ranges of term, sorted, so that only the row groups
+    that hold a word of the query are read; ``titles`` (url, title); and the number of documents."""
+
+    weights: DataFrame
+    titles: DataFrame
+    n_docs: int
+
+
+def stored(weights: DataFrame, crawl: DataFrame) -> Index:
+    """The index of a crawl, written to the shared folder once for all searches."""
+    ranges = weights.select("term", "url", "tfidf").repartitionByRange(partitions(crawl.sparkSession), "term", "url").sortWithinPartitions("term", "url")
+    titles = crawl.select("url", page_title(F.col("page")).alias("title"))
+    return Index(written(ranges, "search-weights"), written(titles, "search-titles"), crawl.count())
 
 
 def query_terms(query: str, stemmed: bool = True) -> list[str]:
@@ -55,12 +73,13 @@ def top(results: DataFrame, k: int | None = None) -> DataFrame:
     return ordered if k is None else ordered.limit(k)
 
 
-def with_titles(results: DataFrame, crawl: DataFrame) -> DataFrame:
-    return results.join(crawl.select("url", page_title(F.col("page")).alias("title")), "url", "left")
+def with_titles(results: DataFrame, titles: DataFrame) -> DataFrame:
+    """``results`` with the title of each page (``titles``: url, title), null without one."""
+    return results.join(titles, "url", "left")
 
 
-def to_json(results: DataFrame, k: int = 1000) -> DataFrame:
-    """One row, ``json``: {"data": [{"url", "title"}, ...]} of the best k results; a missing title is left out."""
+def to_json(results: DataFrame, k: int | None = None) -> DataFrame:
+    """One row, ``json``: {"data": [{"url", "title"}, ...]} of the best k results, or all; a missing title is left out."""
     best = top(results, k)
     listed = best.agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "url", "title"))).alias("all"))
     return listed.select(F.to_json(F.struct(F.transform("all", lambda x: F.struct(x["url"].alias("url"), x["title"].alias("title"))).alias("data"))).alias("json"))

@@ -6,8 +6,12 @@ combine the old rows with a batch of changes, each by one shuffle on the key.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from webloom.workspace import written
+
 
 def scan(table: DataFrame, start: str | None = None, end: str | None = None, key: str = "key") -> DataFrame:
     """Rows with start <= key < end; either bound may be open."""
@@ -84,13 +88,23 @@ class Catalog:
 
     @staticmethod
     def _saved(name: str) -> str:
-        return name.replace("-", "_").lower()
+        """A name that Spark takes for any name, unlike for unlike ones: what is no small letter or digit as ``_`` and its hex bytes."""
+        return "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else "".join(f"_{b:02x}" for b in c.encode()) for c in name)
+
+    @staticmethod
+    def _given(saved: str) -> str:
+        """The name that ``_saved`` made this of; itself if none."""
+        try:
+            return re.sub(r"(?:_[0-9a-f]{2})+", lambda m: bytes.fromhex(m[0].replace("_", "")).decode(), saved)
+        except UnicodeDecodeError:
+            return saved
 
     def _quoted(self, name: str) -> str:
         return f"`{self.database}`.`{self._saved(name)}`"
 
     def tables(self) -> list[str]:
-        return sorted(t.name for t in self.spark.catalog.listTables(self.database))
+        """Names as given, of memory tables too."""
+        return sorted(self._given(t.name) for t in self.spark.catalog.listTables(self.database))
 
     def exists(self, name: str) -> bool:
         return self.spark.catalog.tableExists(self._quoted(name) if self.persistent(name) else f"`{self._saved(name)}`")
@@ -105,10 +119,12 @@ class Catalog:
         if self.persistent(name):
             df.write.mode("overwrite").saveAsTable(self._quoted(name))
         else:
-            df.createOrReplaceTempView(self._saved(name))
+            # written, so that it is the table of now, and is computed once
+            written(df, "table").createOrReplaceTempView(self._saved(name))
 
     def rename(self, old: str, new: str) -> None:
-        """Fails if ``old`` is missing, ``new`` is there, or a persistent table would become a memory one."""
+        """Fails if ``old`` is missing, ``new`` is there, or a persistent table would become a memory one. A memory
+        table that becomes persistent is copied: the memory one stays."""
         if not self.exists(old):
             raise KeyError(old)
         if self.exists(new):
@@ -117,8 +133,10 @@ class Catalog:
             raise ValueError("a persistent table can't become a memory table")
         if self.persistent(old):
             self.spark.sql(f"ALTER TABLE {self._quoted(old)} RENAME TO {self._quoted(new)}")
-        else:
+        elif self.persistent(new):
             self.write(new, self.read(old))
+        else:
+            self.spark.table(f"`{self._saved(old)}`").createOrReplaceTempView(self._saved(new))
             self.delete(old)
 
     def delete(self, name: str) -> None:
