@@ -79,6 +79,48 @@ def test_components_against_brute_force_on_fingerprints(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def forest_of(pairs, fps):
+    label = {int(x): int(x) for x in fps}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for got, x in pairs:
+        for a, b in zip(got.tolist(), x.tolist()):
+            a, b = root(a), root(b)
+            label[max(a, b)] = min(a, b)
+    return {x: root(x) for x in label}
+
+
+def test_a_split_bucket_loses_no_link():
+    rng = np.random.default_rng(5)
+    for varying, n, groups in ((40, 3000, 300), (14, 3000, 30), (5, 30, 3), (64, 2000, 0)):
+        bits = np.uint64(1) << rng.choice(64, varying, replace=False).astype(np.uint64)
+        fps = [np.uint64(sum(int(b) for b in bits[rng.random(varying) < 0.5])) for _ in range(n - groups)]
+        for _ in range(groups):  # chains within the radius
+            x = fps[rng.integers(len(fps))]
+            fps.append(x ^ np.bitwise_or.reduce(rng.choice(bits, rng.integers(1, 5), replace=False)))
+        fps = rng.permutation(np.unique(np.array(fps, np.uint64)))
+        for most in (1, 16, 500):
+            found = list(simhash._bucket(fps, most))
+            assert all((np.bitwise_count(a ^ b) <= 4).all() for a, b in found)
+            assert forest_of(found, fps) == forest_of(simhash._walk(fps), fps)
+
+
+def test_a_large_bucket_of_unlike_fingerprints_is_not_compared_in_pairs(monkeypatch):
+    rng = np.random.default_rng(6)
+    fps = np.unique(rng.integers(0, 1 << 42, 60_000, dtype=np.uint64))
+    compared = []
+    popcount = simhash._popcount
+    monkeypatch.setattr(simhash, "_popcount", lambda x: compared.append(len(x)) or popcount(x))
+    near = fps[:1] ^ np.uint64(0b1111)
+    linked = [(a, b) for a, b in simhash._bucket(np.append(fps, near))]
+    assert {int(near[0]), int(fps[0])} <= {int(x) for pair in linked for w in pair for x in w}
+    assert sum(compared) < len(fps) ** 2 / 50
+
+
 def test_documents_against_brute_force(spark):
     rnd = random.Random(4)
     words = [f"w{i}" for i in range(50)]

@@ -15,7 +15,9 @@ these cases, and each has its tables:
 
 Rows with equal keys meet in one partition, and every candidate is verified on its fingerprints. A bucket
 is never expanded into pairs: a walk over it takes from the unlinked rest all that link to a member, so a
-bucket of one cluster costs one comparison a member, and yields one link a member.
+bucket of one cluster costs one comparison a member, and yields one link a member. A large bucket of unlike
+fingerprints is split again: the bits that vary in it are dealt into six groups, and two fingerprints within
+four bits agree in two whole groups at least, so each pair of groups gives sub-buckets, which are split in turn.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ RADIUS, SHINGLE, SEED = 4, 4, 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Entries that a partition of the buckets should hold at most; their number follows from it.
 PARTITION_ENTRIES = 1_000_000
+#: Fingerprints of a bucket that are compared without splitting it.
+WALK = 4096
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _WEIGHT = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -168,6 +172,39 @@ def _walk(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 todo.extend(got)
 
 
+def _bucket(fps: np.ndarray, most: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(member, one it links to) that connect what links within one bucket of distinct fingerprints.
+
+    Beyond ``most`` of them the bucket is split as long as that saves comparisons; no link is lost either way.
+    """
+    most = WALK if most is None else most
+    split = _split(fps) if len(fps) > most else []
+    if not split or sum(int((size * size).sum()) for _, _, size in split) > len(fps) ** 2 // 2:
+        yield from _walk(fps)
+        return
+    for order, starts, size in split:
+        own = fps[order]
+        for s, n in zip(starts[size > 1].tolist(), size[size > 1].tolist()):
+            yield from _bucket(own[s : s + n], most)
+
+
+def _split(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(order, starts, sizes) of the sub-buckets for each two of six groups of the bits that vary; none if fewer vary."""
+    bits = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    ones = np.array([np.count_nonzero(fps & b) for b in bits])
+    even = np.minimum(ones, len(fps) - ones)
+    varying = np.flatnonzero(even)
+    varying = varying[np.argsort(-even[varying], kind="stable")]  # each group gets some that tell much
+    groups = [np.bitwise_or.reduce(bits[varying[k :: RADIUS + 2]], initial=np.uint64(0)) for k in range(RADIUS + 2)]
+    out = []
+    for a, b in combinations(groups, 2) if len(varying) >= RADIUS + 2 else ():
+        key = fps & (a | b)
+        order = np.argsort(key, kind="stable")
+        starts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+        out.append((order, starts, np.diff(np.append(starts, len(key)))))
+    return out
+
+
 def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Stars with the same components as the links."""
     nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
@@ -209,9 +246,12 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     us.append(fp[two][near])
     vs.append(fp[two + 1][near])
     for s, n in zip(starts[size > 2].tolist(), size[size > 2].tolist()):
-        for got, x in _walk(fp[s : s + n]):
+        held = len(us)
+        for got, x in _bucket(fp[s : s + n]):
             us.append(got)
             vs.append(x)
+            if len(us) - held > 100_000:  # sub-buckets repeat links
+                us[held:], vs[held:] = ([w] for w in _forest(np.concatenate(us[held:]), np.concatenate(vs[held:])))
     u, v = _forest(np.concatenate(us), np.concatenate(vs))
     for k in range(0, len(u), 10_000):
         yield pa.RecordBatch.from_arrays([pa.array(u[k : k + 10_000].view(np.int64)), pa.array(v[k : k + 10_000].view(np.int64))], names=["u", "v"])
