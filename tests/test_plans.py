@@ -209,6 +209,36 @@ def test_stemmed_search_against_counting(spark, sf):
     assert got.keys() == want.keys() and all(abs(got[u] - want[u] - 0.15) < 2e-6 for u in got)
 
 
+@pytest.fixture(scope="module")
+def repeated(tmp_path_factory):
+    """Pages of which some URLs have two or three rows, and one is null."""
+    duckdb = pytest.importorskip("duckdb")
+    folder = tmp_path_factory.mktemp("repeated")
+    rows = [(k, f"http://h{k % 3}.com/{k % 6}" if k < 16 else None, f"<head><title>t{k % 7}</title></head> the word{k} and of x{k % 4} hotel{k % 2}") for k in range(17)]
+    pages = pd.DataFrame(rows, columns=["page_id", "url", "html"])
+    con = duckdb.connect()
+    con.register("pages", pages)
+    con.execute(f"COPY pages TO '{folder}/pages.parquet' (FORMAT parquet)")
+    return str(folder), con
+
+
+def against_sql(spark, repeated, name):
+    from __spark_entry__ import oracle_sql
+
+    folder, con = repeated
+    cur = con.execute(oracle_sql()[name])
+    names = [d[0] for d in cur.description]
+    want = sorted(map(str, cur.fetchall()))
+    got = sorted(str(tuple(r)) for r in QUERIES[name](spark, folder).select(*names).collect())
+    assert got == want
+    return got
+
+
+def test_search_per_doc_with_urls_crawled_again(spark, repeated):
+    got = against_sql(spark, repeated, "search_per_doc")
+    assert len(got) == 17
+
+
 def test_posting_blocks_hold_all_postings(spark):
     web = spark.createDataFrame([(f"u{i}", "common word" if i % 2 else "common") for i in range(300)] + [("u1", "common")], "url string, page string")
     got = index.posting_blocks(web, 40).collect()
