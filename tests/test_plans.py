@@ -239,6 +239,11 @@ def test_search_per_doc_with_urls_crawled_again(spark, repeated):
     assert len(got) == 17
 
 
+def test_search_ranked_with_urls_crawled_again(spark, repeated):
+    got = against_sql(spark, repeated, "search_ranked")
+    assert len(got) == 4 * 3**2 + 2 * 2**2 + 1  # each rank row with each title
+
+
 def test_posting_blocks_hold_all_postings(spark):
     web = spark.createDataFrame([(f"u{i}", "common word" if i % 2 else "common") for i in range(300)] + [("u1", "common")], "url string, page string")
     got = index.posting_blocks(web, 40).collect()
