@@ -72,6 +72,24 @@ def test_stemmed_dictionary_terms(spark):
     assert got == {("u", "run"): 1.0, ("u", "hotel"): 0.5}
 
 
+def test_stemmed_terms_are_parsed_once_and_stemmed_once_a_word(spark):
+    from webloom.functions.stem import stem
+
+    known = {"run", "hotel", "gener", "generate", "relate", "relat", "xyz"}
+    texts = {"u": ["running runs generates", "related relating hotels ran"], "v": ["Runs"], "w": ["hotels relates the run run"], "z": [""]}
+    own = spark.createDataFrame([(u, f"<p>{t}</p>") for u, all_ in texts.items() for t in all_] + [("n", None), (None, "<p>run run hotel</p>")], "url string, page string")
+    tf = index.heading_paragraph_term_frequencies(own, spark.createDataFrame([(w,) for w in sorted(known)], "word string"), stemmed=True)
+    want = {}
+    for u, all_ in texts.items():
+        once = [s for t in all_ for w in t.lower().split() if (s := stem(w)) in known]
+        for term in {stem(s) for s in once} & known:
+            if len(once) > 1:
+                want[u, term] = sum(stem(s) == term for s in once) / (len(once) - 1)
+    assert {(r.url, r.term): r.tf for r in tf.collect()} == want and len(want) > 4
+    plan = tf._jdf.queryExecution().optimizedPlan().toString()
+    assert "EvalPython" not in plan and "_stem_all" not in plan and plan.count("Generate explode") == 1
+
+
 def test_crawl_follows_links_and_robots(spark):
     web = spark.createDataFrame([("http://a.com:80/", '<a href="/x">x</a><a href="http://b.com/">b</a><a href="/no">n</a>'), ("http://a.com:80/x", '<a href="/">home</a>'), ("http://b.com:80/", "end"), ("http://a.com:80/no", "secret")], "url string, page string")
     robots = spark.createDataFrame([("a.com", "User-agent: *\nDisallow: /no\n")], "host string, robots string")
