@@ -262,6 +262,19 @@ def test_search_ranked_with_urls_crawled_again(spark, repeated):
     assert len(got) == 4 * 3**2 + 2 * 2**2 + 1  # each rank row with each title
 
 
+def test_ranks_of_pages_parse_each_page_once(spark, monkeypatch):
+    from webloom.plans import queries
+
+    seen = []
+    real = pagerank.pagerank
+    monkeypatch.setattr(pagerank, "pagerank", lambda nodes, links, *a: seen.extend((nodes, links)) or real(nodes, links, *a))
+    a, b, c = (f"http://{h}.com:80/" for h in "abc")
+    web = spark.createDataFrame([(a, f'<a href="{b}">b</a> <a href="{b}">b</a>'), (b, f'<a href="{c}">c</a>'), (a, f'<a href="{b}">b</a>'), (b, None), (None, "")], "url string, page string")
+    got = [(r.url, round(r.rank, 9)) for r in queries.page_ranks(web).collect()]
+    assert sorted(got, key=str) == sorted([(a, 0.15), (b, 0.2775), (c, 0.385875), (None, 0.15)], key=str)
+    assert not any("regexp_extract_all" in df._jdf.queryExecution().optimizedPlan().toString() for df in seen)
+
+
 def test_posting_blocks_hold_all_postings(spark):
     web = spark.createDataFrame([(f"u{i}", "common word" if i % 2 else "common") for i in range(300)] + [("u1", "common")], "url string, page string")
     got = index.posting_blocks(web, 40).collect()
